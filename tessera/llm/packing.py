@@ -42,7 +42,7 @@ SPARE = 4
 END_ID = 1
 #: Texts with other characters than these are given to the library whole: outside them
 #: normal forms, case folding or white space need more than a word at a time.
-_OTHER = re.compile("[\x1c-\x1f̀-‏ -₫₭-\U0010ffff]")
+_OTHER = re.compile("[\x1c-\x1f\u0300-\u200f\u2028-\u20ab\u20ad-\U0010ffff]")
 _made: dict[str, Tokens] = {}
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, compress_rules, flac, packing
+from . import bpe, common, compress_rules, flac, html_template, packing, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -19,6 +19,10 @@ def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(common.read_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "labels"))
+
+
 def op5_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -33,8 +37,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.main_text(common.read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_flac_media, op5_kk_packing, op7_compression_bands, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_flac_media, op2_toxicity_chain, op5_kk_packing, op7_compression_bands, op8_byte_bpe, op9_html_template)}
 
 
 def oracle_sql() -> dict[str, str]:
