@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, compress_rules, flac, html_template, packing, toxicity
+from . import bpe, brown_lm, common, compress_rules, flac, html_template, packing, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -23,6 +23,10 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "labels"))
 
 
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.perplexity(common.read_table(spark, sf_dir, "documents"))
+
+
 def op5_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -42,7 +46,7 @@ def op9_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_flac_media, op2_toxicity_chain, op5_kk_packing, op7_compression_bands, op8_byte_bpe, op9_html_template)}
+    return {f.__name__: f for f in (op1_flac_media, op2_toxicity_chain, op3_brown_lm, op5_kk_packing, op7_compression_bands, op8_byte_bpe, op9_html_template)}
 
 
 def oracle_sql() -> dict[str, str]:
