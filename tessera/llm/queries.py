@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown_lm, common, compress_rules, flac, html_template, packing, toxicity
+from . import bpe, brown_lm, common, compress_rules, flac, fm_dedup, html_template, jaccard_join, packing, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -31,6 +31,10 @@ def op5_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op6_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.dedup(common.read_table(spark, sf_dir, "documents"))
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_rules.rules(common.read_table(spark, sf_dir, "documents"))
 
@@ -45,8 +49,12 @@ def op9_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.main_text(common.read_table(spark, sf_dir, "pages"))
 
 
+def op10_group_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components_of(common.read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_flac_media, op2_toxicity_chain, op3_brown_lm, op5_kk_packing, op7_compression_bands, op8_byte_bpe, op9_html_template)}
+    return {f.__name__: f for f in (op1_flac_media, op2_toxicity_chain, op3_brown_lm, op5_kk_packing, op6_fm_index_dedup, op7_compression_bands, op8_byte_bpe, op9_html_template, op10_group_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
