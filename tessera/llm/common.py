@@ -6,8 +6,10 @@ the input are ignored, and words are runs of bytes outside 0x20 and 0x09-0x0D.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -146,15 +148,34 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir of the session, and only where it is unset a local one."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder()
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tessera-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the shared checkpoint folder: later steps don't run the earlier ones again."""
+    """The same rows, read back from the shared checkpoint folder: later steps don't run the earlier ones again.
+
+    What the earlier steps have shuffled is of no more use and is let go of.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    context._jvm.System.gc()
+    return out
 
 
 def shuffles(df: DataFrame) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown_lm, common, compress_rules, flac, fm_dedup, html_template, jaccard_join, packing, toxicity
+from . import bpe, brown_lm, common, compress_rules, flac, fm_dedup, html_template, jaccard_join, line_dedup, packing, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -27,6 +27,10 @@ def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.perplexity(common.read_table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(common.read_table(spark, sf_dir, "documents"))
+
+
 def op5_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -54,7 +58,7 @@ def op10_group_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_flac_media, op2_toxicity_chain, op3_brown_lm, op5_kk_packing, op6_fm_index_dedup, op7_compression_bands, op8_byte_bpe, op9_html_template, op10_group_jaccard_join)}
+    return {f.__name__: f for f in (op1_flac_media, op2_toxicity_chain, op3_brown_lm, op4_line_dedup, op5_kk_packing, op6_fm_index_dedup, op7_compression_bands, op8_byte_bpe, op9_html_template, op10_group_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
