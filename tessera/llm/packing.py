@@ -20,12 +20,14 @@ Null and empty texts have the end id only; repeated rows are packed as rows of t
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +51,9 @@ _made: dict[str, Tokens] = {}
 class Tokens(dict):
     """Little-endian ids of each white-space word, as the library gives them.
 
-    The split pattern of the tokenizer never spans white space and doesn't look behind,
-    so a text's ids are its words' ids in a row.
+    The split pattern of the tokenizer never spans white space and doesn't look around,
+    so a text's ids are its words' ids in a row, and a word's those of its matches. Words
+    are kept in two generations: when the younger is full, the older goes.
     """
 
     def __init__(self, content: str):
@@ -59,13 +62,23 @@ class Tokens(dict):
         super().__init__()
         self.library = Tokenizer.from_str(content)
         self.library.encode_special_tokens = True
-        rules = str(content[: content.find('"model"')])
-        self.by_word = r"[^\\s\\p{L}\\p{N}]+" in rules and '"add_prefix_space":false' in re.sub(r"\s", "", rules) and '"Removed"' in rules
+        rules = json.loads(content)["pre_tokenizer"]
+        steps = rules.get("pretokenizers", [rules])
+        pattern = steps[0].get("pattern", {}).get("Regex", "")
+        #: Whether texts may be taken apart: a pattern of plain runs whose matches are kept and the rest dropped.
+        self.by_word = steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and bool(steps[0]["invert"]) and "[^\\s" in pattern and "(?" not in pattern and not any(x.get("add_prefix_space") or x.get("use_regex") for x in steps[1:])
+        self.matches = regex.compile(pattern).findall
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= common.CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
-        out = self[word] = self.whole(word)
+        out = self.older.get(word)
+        if out is None:
+            parts = self.matches(word)
+            out = self.whole(word) if len(parts) < 2 else b"".join(map(self.__getitem__, parts))
+        self[word] = out
         return out
 
     def whole(self, text: str) -> bytes:
