@@ -181,13 +181,13 @@ def coregister(cube: Cube, reference: int = 0, upsampling: int = 10, band: str =
     h, w = cube.dims["y"], cube.dims["x"]
     base = cube.isel(**{time: reference}).df.select("y", "x", F.col(band).cast("double").alias("__base"))
     both = cube.df.join(base, ["y", "x"])
-    names = list(cube.variables)
+    names, order = list(cube.variables), list(cube.dims)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"])
         image = lambda c: pdf[c].to_numpy(float).reshape(h, w)
         s = phase_shift(image("__base"), image(band), upsampling)
-        return pdf.assign(**{v: shifted(image(v), s).ravel() for v in names})[[*cube.dims, *names]]
+        return pdf.assign(**{v: shifted(image(v), s).ravel() for v in names})[[*order, *names]]
 
     schema = ", ".join([f"{d} int" for d in cube.dims] + [f"{v} double" for v in names])
     return cube.with_df(both.groupBy(time).applyInPandas(run, schema))

@@ -266,9 +266,9 @@ def omnibus_change(spark, sf):
     return change.omnibus(lineitem_cube(spark, sf), n=150, alpha=0.9).df.where("change").select("y", "x", "t")
 
 
-@query(omnibus_sql(360, 0.9, _ML, "SELECT DISTINCT y, x, CAST(t AS INTEGER) AS t FROM walk"))
+@query(omnibus_sql(1800, 0.9, _ML, "SELECT DISTINCT y, x, CAST(t AS INTEGER) AS t FROM walk"))
 def omnibus_multilook(spark, sf):
-    return change.omnibus(lineitem_cube(spark, sf), ml=3, looks=40, alpha=0.9).df.where("change").select("y", "x", "t")
+    return change.omnibus(lineitem_cube(spark, sf), ml=3, looks=200, alpha=0.9).df.where("change").select("y", "x", "t")
 
 
 @query(omnibus_sql(400, 0.95, _SRC, "SELECT g.y, g.x, count(walk.t) AS changes FROM (SELECT DISTINCT y, x FROM li) g LEFT JOIN walk ON g.y = walk.y AND g.x = walk.x GROUP BY 1, 2"))
@@ -538,4 +538,4 @@ def parallel_chunks(spark, sf):
     return rounded(tiling.parallel(cube, centred, "y", 3, "y int, x int, t int, c11 double", buffer=1).df, "y", "x", "t")
 
 
-FLAGSHIP = "omnibus_multilook"
+FLAGSHIP = "omnibus_count"
