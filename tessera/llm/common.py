@@ -173,6 +173,7 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
+    del df  # the last reference to the plan that has shuffled, if the caller keeps none
     gc.collect()
     context._jvm.System.gc()
     return out

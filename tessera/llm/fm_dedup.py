@@ -172,7 +172,7 @@ def runs(df: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def repeated_runs(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, key, place, split): runs whose key another run has or that repeat themselves; split: over how many shards the key is dealt."""
-    found = runs(df, window)
+    found = common.cut(runs(df, window))
     own = F.shiftright("place", 31).bitwiseAND(F.lit(1)) == 1
     counts = found.groupBy("key").agg(F.count("*").alias("n"), F.max(own).alias("own")).where("n > 1 or own").select(F.col("key"), F.ceil(F.col("n") / KEY_RUNS).cast("int").alias("split"))
     return found.join(counts.hint("merge"), "key").select("doc_id", "key", "place", "split")
