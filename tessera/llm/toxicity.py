@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -202,8 +203,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 
 def _verdict(chain: Chain | None, threshold: float):
-    import pandas as pd
-
     def toxic(text: pd.Series) -> pd.Series:
         if chain is None:
             return pd.Series(np.zeros(len(text), bool))
