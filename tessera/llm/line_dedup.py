@@ -127,14 +127,24 @@ def removed(df: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return each.where(F.col("near") | (F.struct("doc_id", "at") > F.struct(F.col("d"), F.col("a")))).select("doc_id", "at", "near")
 
 
+def _kept_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """The texts without the lines whose numbers are given."""
+    out = []
+    for t, g in zip(text, gone):
+        if t is not None and g is not None:
+            numbers = set(g)
+            t = "\n".join([x for k, x in enumerate(t.split("\n")) if k not in numbers])
+        out.append(t)
+    return pd.Series(out, dtype=object)
+
+
 def trimmed(df: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """All rows and columns with two more: __gone, the numbers of lines that go (null if none), and __text, what stays."""
-    gone = removed(df, least_words).groupBy(F.col("doc_id").alias("__key")).agg(F.sort_array(F.collect_set("at")).alias("__gone"), F.sum(F.col("near").cast("long")).alias("__near"))
+    """All rows and columns with more: __gone, the numbers of lines that go (null if none), __near and __text, what stays."""
+    gone = removed(df, least_words).groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set("at").alias("__gone"), F.sum(F.col("near").cast("long")).alias("__near"))
     rows = df.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    text = F.col("text").cast("string")
-    # one pass over both sorted lists: the lines between the ones that go
-    kept = F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x, k: F.when(~F.array_contains("__gone", k), x)), lambda x: x.isNotNull()), "\n")
-    return rows.join(gone.hint("merge"), "__key", "left").withColumn("__text", F.when(F.col("__gone").isNull(), text).otherwise(kept)).drop("__key")
+    kept = F.pandas_udf(_kept_lines, T.StringType())
+    joined = rows.join(gone.hint("merge"), "__key", "left")
+    return joined.withColumn("__text", kept(F.col("text").cast("string"), F.col("__gone"))).drop("__key")
 
 
 def dedup(df: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
