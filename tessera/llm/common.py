@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -179,6 +181,19 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows as a compressed table in the shared folder, which goes when the block ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def shuffles(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,6 +29,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -170,9 +171,8 @@ def runs(df: DataFrame, window: int = WINDOW) -> DataFrame:
     return common.arrow_map(df, run, "key long, doc_id long, place long")
 
 
-def repeated_runs(df: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_runs(found: DataFrame) -> DataFrame:
     """(doc_id, key, place, split): runs whose key another run has or that repeat themselves; split: over how many shards the key is dealt."""
-    found = common.cut(runs(df, window))
     own = F.shiftright("place", 31).bitwiseAND(F.lit(1)) == 1
     counts = found.groupBy("key").agg(F.count("*").alias("n"), F.max(own).alias("own")).where("n > 1 or own").select(F.col("key"), F.ceil(F.col("n") / KEY_RUNS).cast("int").alias("split"))
     return found.join(counts.hint("merge"), "key").select("doc_id", "key", "place", "split")
@@ -252,7 +252,8 @@ def shard_repeats(rows: list[tuple], window: int = WINDOW) -> list[tuple]:
 
 def repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, tag, start, windows): windows of (doc_id, text) rows that occur earlier."""
-    repeated = common.cut(repeated_runs(df, window))
+    with common.stored(runs(df, window)) as found:
+        repeated = common.cut(repeated_runs(found))
     shards = max(1, -(-repeated.count() // SHARD_RUNS))
     parts = max(common.shuffles(df), min(shards, 4 * common.shuffles(df)))
     laid = run_texts(df, repeated, shards, window).repartition(parts, "shard").sortWithinPartitions("shard")
@@ -333,9 +334,7 @@ def keep_first(df: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = docs.select(F.col("__key").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = repeats(rows, window).groupBy(F.col("doc_id").alias("__key")).agg(F.collect_list(F.struct("tag", "start", "windows")).alias("__found"))
 
-    def trim(text, found):
-        import pandas as pd
-
+    def trim(text: pd.Series, found: pd.Series) -> pd.Series:
         out = []
         for t, f in zip(text, found):
             if f is None or t is None:
