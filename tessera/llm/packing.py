@@ -45,6 +45,7 @@ END_ID = 1
 #: Texts with other characters than these are given to the library whole: outside them
 #: normal forms, case folding or white space need more than a word at a time.
 _OTHER = re.compile("[\x1c-\x1f\u0300-\u200f\u2028-\u20ab\u20ad-\U0010ffff]")
+_CONTROL = re.compile("[\x1c-\x1f]")
 _made: dict[str, Tokens] = {}
 
 
@@ -69,6 +70,11 @@ class Tokens(dict):
         self.by_word = steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and bool(steps[0]["invert"]) and "[^\\s" in pattern and "(?" not in pattern and not any(x.get("add_prefix_space") or x.get("use_regex") for x in steps[1:])
         self.matches = regex.compile(pattern).findall
         self.older: dict[str, bytes] = {}
+        suffix = json.loads(content)["model"].get("end_of_word_suffix")
+        ends = [k for w, k in self.library.get_vocab().items() if suffix and w.endswith(suffix)]
+        #: Whether an id ends a match.
+        self.ends = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
+        self.ends[ends] = True
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= common.CACHE_ENTRIES:
@@ -81,13 +87,31 @@ class Tokens(dict):
         self[word] = out
         return out
 
+    def learn(self, words: list[str]) -> None:
+        """The matches of new words, encoded as one text and parted by the ids that end a match."""
+        found = [(w, self.matches(w)) for w in words if w not in self.older]
+        fresh = list({p for _, parts in found for p in parts if p not in self and p not in self.older})
+        if len(fresh) < 2 or not self.ends.any():
+            return
+        ids = np.array(self.library.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(fresh) and stops[-1] == len(ids):
+            raw, at = ids.tobytes(), 0
+            for p, stop in zip(fresh, (4 * stops).tolist()):
+                self[p] = raw[at:stop]
+                at = stop
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if not self.by_word or _OTHER.search(text):
+        if not self.by_word or not text.isascii() and _OTHER.search(text) or _CONTROL.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        words = text.lower().split()
+        new = [w for w in set(words) if w not in self]
+        if len(new) > 4:
+            self.learn(new)
+        return b"".join(map(self.__getitem__, words))
 
 
 def tokens(content: str) -> Tokens:
