@@ -240,9 +240,9 @@ def nlmeans_neff(spark, sf):
 
 # -- change detection ---------------------------------------------------------------------------
 
-def omnibus_sql(n: float, alpha: float, source: str, select: str) -> str:
+def omnibus_sql(n: float | str, alpha: float, source: str, select: str) -> str:
     """All subseries of a cell, their P, and the walk from change to change."""
-    k = "(e - l + 1)"
+    k, n = "(e - l + 1)", f"{float(n):e}"  # a double, so that nothing overflows
     return f"""WITH RECURSIVE {LI}{source}, m AS (SELECT y, x, t, c11, c12r, c12i, c22, ln(c11 * c22 - (c12r * c12r + c12i * c12i)) AS ld FROM src),
  sub AS (SELECT a.y, a.x, a.t AS l, b.t AS e, sum(s.ld) AS ld, sum(s.c11) AS s11, sum(s.c22) AS s22, sum(s.c12r) AS sr, sum(s.c12i) AS si
   FROM m a JOIN m b ON a.y = b.y AND a.x = b.x AND b.t > a.t JOIN m s ON s.y = a.y AND s.x = a.x AND s.t BETWEEN a.t AND b.t GROUP BY 1, 2, 3, 4),
