@@ -153,17 +153,27 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _in_time(n: Column, percent: int) -> Column:
+    """Whether a shingle's place allows it to be the first that a set of n shares with a partner."""
+    return F.col("pos") + F.ceil(n * percent / 100) <= n
+
+
+def _enough_left(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
+    """Whether two sets can overlap enough if these places are the first that they share."""
+    return F.least(na - pa_, nb - pb) * (100 + percent) >= (na + nb) * percent
+
+
 def indexed(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, node, n, doc): the prefix shingles of classes that may link."""
+    """(token, node, n, pos, doc): the prefix shingles of classes that may link, and their places in the order."""
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("alike").alias("alike"), F.first("prefix").alias("prefix"))
     classes = common.cut(classes)
     groups = classes.groupBy("alike").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").cast("int").alias("members"))
-    index = groups.select(F.explode("prefix").alias("token"), "alike", "n", "members")
+    index = groups.select(F.posexplode("prefix").alias("pos", "token"), "alike", "n", "members")
     many = index.groupBy("token").agg(F.sum("members").alias("c")).where("c > 1").select("token")
-    index = common.cut(index.join(many.hint("merge"), "token").select("token", "alike", "n"))
+    index = common.cut(index.join(many.hint("merge"), "token").select("token", "alike", "n", "pos"))
     enough = index.groupBy("alike").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= F.least(_least_shared(F.col("n"), percent), F.col("c") + 1)).select("alike")
     members = classes.select("alike", "node", "doc").join(enough, "alike", "left_semi")
-    return common.cut(index.join(members, "alike").select("token", "node", "n", "doc"))
+    return common.cut(index.join(members, "alike").select("token", "node", "n", "pos", "doc"))
 
 
 def like_sizes(index: DataFrame, percent: int) -> DataFrame:
@@ -226,9 +236,11 @@ def linked_classes(docs: DataFrame, rows: DataFrame, size: int = SHINGLE, percen
     """(node, component) of the classes that link with another."""
     index = indexed(rows, percent)
     places = common.cut(index.select("node", "doc").distinct())
-    binned = like_sizes(index.select("token", "node", "n"), percent)
-    first = binned.groupBy("token", "bin").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count("*").alias("c")).where("c > 1").select("token", "bin", "pivot")
-    stars = binned.join(first.hint("merge"), ["token", "bin"]).where((F.col("node") != F.col("pivot.node")) & _fits(F.col("n"), F.col("pivot.n"), percent))
+    ranges = like_sizes(index.select("token", "node", "n", "pos"), percent)
+    binned = ranges.where(_in_time(F.col("n"), percent))
+    first = binned.groupBy("token", "bin").agg(F.min(F.struct("node", "n", "pos")).alias("pivot"), F.count("*").alias("c")).where("c > 1").select("token", "bin", "pivot")
+    near = binned.join(first.hint("merge"), ["token", "bin"]).where(F.col("node") != F.col("pivot.node"))
+    stars = near.where(_fits(F.col("n"), F.col("pivot.n"), percent) & _enough_left(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"), percent))
     stars = common.cut(stars.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct())
     nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = common.cut(verify(docs, nearest, places, size, percent))
@@ -243,15 +255,17 @@ def linked_classes(docs: DataFrame, rows: DataFrame, size: int = SHINGLE, percen
     links = common.cut(links.union(verify(docs, rest, places, size, percent)))
     found = common.cut(common.components(links, "a", "b"))
 
-    rows_ = binned.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).select("token", "bin", "node", "n", "c")
-    mixed = rows_.groupBy("token", "bin").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("node").alias("pivot")).where("lo <> hi").select("token", "bin", "pivot")
-    rows_ = rows_.join(mixed.hint("merge"), ["token", "bin"]).where("node <> pivot").select("token", "bin", "node", "n", "c")
-    enough = rows_.groupBy("node").agg(F.count_distinct("token").alias("k"), F.first("n").alias("n")).where(F.col("k") >= _least_shared(F.col("n"), percent) - 1).select("node")
+    # a class that links elsewhere shares as many shingles with other components as its smallest partner's l
+    rows_ = ranges.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).select("token", "bin", "node", "n", "pos", "c")
+    mixed = rows_.groupBy("token", "bin").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token", "bin")
+    rows_ = rows_.join(mixed.hint("merge"), ["token", "bin"])
+    enough = rows_.groupBy("node").agg(F.count_distinct("token").alias("k"), F.first("n").alias("n")).where(F.col("k") >= _least_shared(F.col("n"), percent)).select("node")
+    rows_ = rows_.where(_in_time(F.col("n"), percent)).join(first.select("token", "bin", F.col("pivot.node").alias("pivot")).hint("merge"), ["token", "bin"]).where("node <> pivot").select("token", "bin", "node", "n", "pos", "c")
     rows_ = common.cut(rows_.join(enough, "node", "left_semi"))
     x, y = rows_.alias("x"), rows_.alias("y")
-    met = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.bin") == F.col("y.bin")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & _fits(F.col("x.n"), F.col("y.n"), percent))
-    met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count_distinct("x.token").alias("k"), F.first(F.least("x.n", "y.n")).alias("n"))
-    met = met.where(F.col("k") >= F.floor(F.col("n") * MORE / 100) + 1 - 1).select("a", "b").join(stars, ["a", "b"], "left_anti")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.bin") == F.col("y.bin")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
+    fit = _fits(F.col("x.n"), F.col("y.n"), percent) & _enough_left(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
+    met = x.join(y.hint("merge"), same & fit).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     links = links.union(verify(docs, common.cut(met), places, size, percent))
     return common.components(links, "a", "b")
 
