@@ -1,19 +1,19 @@
-"""Near-duplicate lines by a deletion-neighbourhood join; the earliest line is kept.
+"""Near-duplicate lines by a prefix join over word grams; the earliest line is kept.
 
-A line is its words. Two lines are near if one word edit (insertion, deletion or
-substitution) turns one into the other; lines of fewer than `least_words` words must be
-equal. A line goes if an earlier one, by (doc_id, line number), is equal or near.
+A line is its words. Two lines are near if a few word edits (insertions, deletions or
+substitutions) turn one into the other: one edit, or with `per` one for each `per` words
+of the longer line (one at least); lines of fewer than `least_words` words must be equal.
+A line goes if an earlier one, by (doc_id, line number), is equal or near.
 
 1. Lines are collapsed to distinct ones by a 128-bit key, with their first place and
    number; partial sums make a line that a third of all documents have a row a task.
-2. Halves. Lines within one edit share their first or last half, where halves are taken
-   for their length and the next. Lines none of whose halves any other line has are done.
-3. Variants. The others emit hashed keys of all their variants within the bound: the line
-   itself and the line without its k-th word, for every k. Lines join on equal keys: two
-   variants with the same k are a substitution; a line and another's variant are an
-   insertion or deletion. Of the lines with one key only the earliest, and for insertions
-   the line that the key is, matter to the others, so keys are aggregated, not paired.
-4. Verification: the edit distance of each line and the earlier line found is computed.
+2. Grams. An edit changes at most q of a line's grams of q words, so two lines within k
+   edits share SHARED of the first q k + SHARED grams of either, in any order that is the same for
+   all lines. Grams come by their hash, those that are common in some of the lines last.
+3. Grams that only one line has are done. Of the lines with one gram and about one length
+   the earliest is the pivot; the others are held against it.
+4. Lines that no pivot settles are held against all earlier lines with a gram in common.
+   Every pair is verified by the edit distance of the two lines.
 5. Occurrences of lines that go are joined back to their documents.
 
 Null and empty texts have no lines that could go; lines without words always stay and are
@@ -23,7 +23,9 @@ earlier. A null id comes last.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,12 @@ from pyspark.sql import types as T
 from . import common
 
 LEAST_WORDS = 8
+#: Words of the longer line for each edit, as the queries take it.
+WORDS_PER_EDIT = 10
+#: Grams that near lines share among their first ones; that they have two at least holds for all lengths and bounds.
+SHARED = 2
+#: One line in PART is looked at for grams that COMMON of these have; COMMON_GRAMS at most are known to all tasks.
+PART, COMMON, COMMON_GRAMS = 16, 8, 50_000
 LAST = (1 << 63) - 1
 _SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -51,26 +59,6 @@ def distinct_lines(found: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")).select("key", "line", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"), "n")
 
 
-def _half_keys(w: Column) -> Column:
-    """Keys of the first and last halves of a line, for its own length and the next."""
-    n = F.size(w)
-
-    def at(half: Column, length: Column) -> Column:
-        return F.array(F.xxhash64(F.slice(w, 1, half), length, F.lit(1)), F.xxhash64(F.slice(w, n - half + 1, half), length, F.lit(2)))
-
-    # lines of n and n + 1 words meet at length n + 1, lines of n words at n
-    return F.concat(at(F.floor(n / 2).cast("int"), n), at(F.floor((n + 1) / 2).cast("int"), n + 1))
-
-
-def near_lines(distinct: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(key, line, doc_id, at): lines that have a half in common with another line."""
-    long = distinct.withColumn("w", F.split("line", " ")).where(F.size("w") >= least_words - 1)
-    halves = long.select("key", F.explode(F.array_distinct(_half_keys(F.col("w")))).alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    keys = halves.join(shared.hint("merge"), "half").select("key").distinct()
-    return distinct.join(keys.hint("merge"), "key", "left_semi").select("key", "line", "doc_id", "at")
-
-
 def _within_one(a: str, b: str) -> bool:
     x, y = a.split(" "), b.split(" ")
     if len(x) > len(y):
@@ -83,46 +71,150 @@ def _within_one(a: str, b: str) -> bool:
     return x[k:] == y[k + 1 :] or len(x) == len(y) and x[k + 1 :] == y[k + 1 :]
 
 
-@F.pandas_udf(T.BooleanType())
-def within_one(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether the word edit distance of two lines is at most one."""
-    return pd.Series([_within_one(x, y) for x, y in zip(a, b)], dtype=bool)
-
-
-def near_duplicates(distinct: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(key): distinct lines that have an earlier line within one word edit."""
-    some = common.cut(near_lines(distinct, least_words))
-    w = F.split("line", " ")
-    n = F.size("w")
-    less = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(k.alias("k"), F.xxhash64(F.concat(F.slice("w", F.lit(1), k - 1), F.slice("w", k + 1, n)), F.lit(3)).alias("v")))
-    itself = F.array(F.struct(F.lit(0).alias("k"), F.xxhash64("w", F.lit(3)).alias("v")))
-    place = F.struct("doc_id", "at", "line")
-    with_words = some.withColumn("w", w)
-    # a deletion of the line that has only one word less, or the line itself
-    variants = with_words.select("key", n.alias("words"), "line", "doc_id", "at", F.explode(F.concat(itself, less)).alias("x")).select("key", "words", "line", "doc_id", "at", F.col("x.k").alias("k"), F.col("x.v").alias("v"))
-    variants = variants.withColumn("base", F.when(F.col("k") == 0, F.col("words")).otherwise(F.col("words") - 1))
-    variants = variants.where(f"base >= {least_words - 1}")
-    # substitution: equal variants without the word at one place
-    by_place = variants.where(f"k > 0 and words >= {least_words}").groupBy("v", "base", "k").agg(F.min(place).alias("other"), F.count("*").alias("c")).where("c > 1").select("v", "base", "k", "other")
-    one = variants.where(f"k > 0 and words >= {least_words}").join(by_place.hint("merge"), ["v", "base", "k"])
-    # insertion and deletion: the line itself and the lines that have one word more
-    selves = variants.where("k = 0").select("v", "base", place.alias("other"))
-    more = variants.where("k > 0").join(selves.hint("merge"), ["v", "base"])
-    least = variants.where("k > 0").groupBy("v", "base").agg(F.min(place).alias("other"))
-    fewer = variants.where("k = 0").join(least.hint("merge"), ["v", "base"])
-    both = [x.select("key", "line", "doc_id", "at", "other") for x in (one, more, fewer)]
-    pairs = both[0].union(both[1]).union(both[2])
-    earlier = pairs.where(F.struct(F.col("other.doc_id"), F.col("other.at")) < F.struct("doc_id", "at"))
-    earlier = earlier.where(F.greatest(F.size(F.split("line", " ")), F.size(F.split("other.line", " "))) >= least_words)
-    return earlier.where(within_one("line", F.col("other.line"))).select("key").distinct()
-
-
-def removed(df: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def bound(n: int, per: int | None) -> int:
+    """Edits that a pair may differ by whose longer line has n words."""
+    return max(1, n // per) if per else 1
+
+
+def _most(n: np.ndarray, per: int | None) -> np.ndarray:
+    """The bound of lines of n words with the longest lines that they can be near."""
+    out = np.ones(len(n), np.int64)
+    while per:
+        more = np.maximum(1, (n + out) // per)
+        if (more == out).all():
+            break
+        out = more
+    return out
+
+
+def _distance(x: list[str], y: list[str]) -> int:
+    """Word edit distance: a column of the table is the bits of two integers."""
+    while x and y and x[-1] == y[-1]:
+        x, y = x[:-1], y[:-1]
+    k = 0
+    while k < min(len(x), len(y)) and x[k] == y[k]:
+        k += 1
+    x, y = x[k:], y[k:]
+    if not x or not y:
+        return len(x) + len(y)
+    at: dict[str, int] = {}
+    for k, w in enumerate(x):
+        at[w] = at.get(w, 0) | 1 << k
+    full, top = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    up, down, d = full, 0, len(x)
+    for w in y:
+        eq = at.get(w, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        more, less = down | (full & ~(xh | up)), up & xh
+        d += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & full, (less << 1) & full
+        up, down = less | (full & ~(xv | more)), more & xv
+    return d
+
+
+def is_near(a: str, b: str, per: int | None = None) -> bool:
+    """Whether two lines are within the bound of the longer."""
+    x, y = a.split(" "), b.split(" ")
+    k = bound(max(len(x), len(y)), per)
+    if abs(len(x) - len(y)) > k:
+        return False
+    return _within_one(a, b) if k == 1 else _distance(x, y) <= k
+
+
+def _grams(lines_: list[bytes], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grams of all lines, the lines that they are of, and the lines' numbers of words."""
+    hashes, starts = common.hashed_words(lines_)
+    owner = np.repeat(np.arange(len(lines_)), np.diff(starts))
+    g = common.grams(hashes, q)
+    whole = owner[: len(g)] == owner[len(owner) - len(g) :] if len(g) else np.zeros(0, bool)
+    return g[whole], owner[: len(g)][whole], np.diff(starts)
+
+
+def _common_grams(long: DataFrame, q: int) -> np.ndarray:
+    """Grams that many of a part of the lines have, the rarest first. They only say what comes last: no result depends on them."""
+    schema = pa.schema([("gram", pa.int64())])
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return common.batch(schema, common.i64(_grams(b.column(0).cast(pa.binary()).to_pylist(), q)[0]))
+
+    counts = common.arrow_map(long.where(F.pmod("id", F.lit(PART)) == 0).select("line"), run, "gram long", "line").groupBy("gram").count()
+    top = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "gram").limit(COMMON_GRAMS).collect()
+    return np.array([r.gram for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def grams_of(long: DataFrame, q: int, per: int | None) -> DataFrame:
+    """(token, id, words, doc_id, at): the grams by which a line meets all that it can be near."""
+    usual = _common_grams(long, q)
+    sorted_, rank = np.sort(usual), np.argsort(usual) + 1
+    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("words", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int32())])
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        g, owner, words = _grams(b.column(0).cast(pa.binary()).to_pylist(), q)
+        order = np.lexsort((g, owner))
+        g, owner = g[order], owner[order]
+        same = np.zeros(len(g), bool)
+        same[1:] = (g[1:] == g[:-1]) & (owner[1:] == owner[:-1])
+        at = np.arange(len(g))
+        again = at - np.maximum.accumulate(np.where(same, 0, at)) if len(g) else at
+        token = common.join2(g, again.astype(np.uint64), 5)
+        last = np.zeros(len(g), np.int64)
+        if len(sorted_):
+            k = np.minimum(np.searchsorted(sorted_, g), len(sorted_) - 1)
+            last = np.where(sorted_[k] == g, rank[k], 0)
+        order = np.lexsort((token, last, owner))
+        token, owner = token[order], owner[order]
+        begin = np.searchsorted(owner, np.arange(len(words)))
+        kept = np.arange(len(owner)) - begin[owner] < q * _most(words, per)[owner] + SHARED
+        token, owner = token[kept], pa.array(owner[kept])
+        return common.batch(schema, common.i64(token), *[b.column(c).take(owner) for c in (1, 2, 3, 4)])
+
+    return common.arrow_map(long.select("line", "id", "words", "doc_id", "at"), run, "token long, id long, words int, doc_id long, at int", "line")
+
+
+def verified(pairs: DataFrame, long: DataFrame, per: int | None) -> DataFrame:
+    """(id, key): the lines that are near the earlier line they are paired with."""
+    near = F.pandas_udf(lambda a, b: pd.Series([is_near(x, y, per) for x, y in zip(a, b)], dtype=bool), T.BooleanType())
+    other = long.select(F.col("id").alias("other"), F.col("line").alias("other_line"), F.struct("doc_id", "at").alias("place"))
+    met = pairs.join(other.hint("merge"), "other").join(long.hint("merge"), "id")
+    return met.where((F.col("place") < F.struct("doc_id", "at")) & near("line", "other_line")).select("id", "key").distinct()
+
+
+def near_duplicates(distinct: DataFrame, least_words: int = LEAST_WORDS, per: int | None = None) -> DataFrame:
+    """(key): distinct lines that have an earlier line within the bound."""
+    if least_words < 3 or per is not None and per < 8:
+        raise ValueError("least_words must be 3 or more, per 8 or more")
+    q = min(3, (least_words - 1) // 2)
+    long = distinct.select("key", "line", F.xxhash64("line").alias("id"), F.size(F.split("line", " ")).alias("words"), "doc_id", F.col("at").cast("int").alias("at")).where(F.col("words") >= least_words - 1)
+    tokens = grams_of(long, q, per)
+    shared = common.cut(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
+    longer = F.greatest("words", "other_words")
+    fits = (longer >= least_words) & (F.abs(F.col("words") - F.col("other_words")) <= (F.greatest(F.lit(1), F.floor(longer / per)) if per else F.lit(1)))
+    earlier = F.struct("other_doc_id", "other_at") < F.struct("doc_id", "at")
+
+    def met(x: DataFrame) -> DataFrame:
+        return x.where(fits & earlier).groupBy("id", "other").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED).select("id", "other")
+
+    with common.stored(tokens.join(shared.hint("merge"), "token")) as live:
+        # lines of about one length, so that the pivot is near if the line has a large group
+        binned = live.withColumn("bin", F.floor(F.log2("words") * 4))
+        first = binned.groupBy("token", "bin").agg(F.min(F.struct("doc_id", "at", "id", "words")).alias("p"), F.count("*").alias("c")).where("c > 1")
+        first = first.select("token", "bin", F.col("p.doc_id").alias("other_doc_id"), F.col("p.at").alias("other_at"), F.col("p.id").alias("other"), F.col("p.words").alias("other_words"))
+        stars = common.cut(met(binned.join(first.hint("merge"), ["token", "bin"])))
+        found = common.cut(verified(stars, long, per))
+
+        rest = live.join(found.select("id").distinct().hint("merge"), "id", "left_anti")
+        all_ = live.select("token", *[F.col(c).alias("other" if c == "id" else f"other_{c}") for c in ("id", "words", "doc_id", "at")])
+        pairs = common.cut(met(rest.join(all_.hint("merge"), "token")).join(stars, ["id", "other"], "left_anti"))
+        return common.cut(found.select("key").union(verified(pairs, long, per).select("key")).distinct())
+
+
+def removed(df: DataFrame, least_words: int = LEAST_WORDS, per: int | None = None) -> DataFrame:
     """(doc_id, at, near): the lines that go, and whether an equal one isn't enough of a reason."""
     found = lines(df)
-    distinct = common.cut(distinct_lines(found))
-    near = near_duplicates(distinct, least_words).withColumn("near", F.lit(True))
-    gone = common.cut(distinct.join(near.hint("merge"), "key", "left").where("n > 1 or near").select("key", F.col("doc_id").alias("d"), F.col("at").alias("a"), F.coalesce("near", F.lit(False)).alias("near")))
+    with common.stored(distinct_lines(found)) as distinct:
+        near = near_duplicates(distinct, least_words, per).withColumn("near", F.lit(True))
+        gone = common.cut(distinct.join(near.hint("merge"), "key", "left").where("n > 1 or near").select("key", F.col("doc_id").alias("d"), F.col("at").alias("a"), F.coalesce("near", F.lit(False)).alias("near")))
     each = found.select(F.unhex(F.md5("line")).alias("key"), "doc_id", "at").join(gone.hint("merge"), "key")
     return each.where(F.col("near") | (F.struct("doc_id", "at") > F.struct(F.col("d"), F.col("a")))).select("doc_id", "at", "near")
 
@@ -138,24 +230,24 @@ def _kept_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def trimmed(df: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def trimmed(df: DataFrame, least_words: int = LEAST_WORDS, per: int | None = None) -> DataFrame:
     """All rows and columns with more: __gone, the numbers of lines that go (null if none), __near and __text, what stays."""
-    gone = removed(df, least_words).groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set("at").alias("__gone"), F.sum(F.col("near").cast("long")).alias("__near"))
+    gone = removed(df, least_words, per).groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set("at").alias("__gone"), F.sum(F.col("near").cast("long")).alias("__near"))
     rows = df.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
     kept = F.pandas_udf(_kept_lines, T.StringType())
     joined = rows.join(gone.hint("merge"), "__key", "left")
     return joined.withColumn("__text", kept(F.col("text").cast("string"), F.col("__gone"))).drop("__key")
 
 
-def dedup(df: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup(df: DataFrame, least_words: int = LEAST_WORDS, per: int | None = None) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_near, kept_sha256) of each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = trimmed(df.select("doc_id", "text"), least_words)
+    out = trimmed(df.select("doc_id", "text"), least_words, per)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__near", F.lit(0)).alias("n_near"), F.sha2(F.coalesce("__text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def keep_first(df: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def keep_first(df: DataFrame, least_words: int = LEAST_WORDS, per: int | None = None) -> DataFrame:
     """The documents without the lines that go; a document all of whose words go goes too."""
-    out = trimmed(df, least_words)
+    out = trimmed(df, least_words, per)
     stays = F.col("__gone").isNull() | (F.regexp_replace(F.coalesce("__text", F.lit("")), _SPLIT, "") != "")
     return out.where(stays).select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in df.columns])

@@ -28,7 +28,7 @@ def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(common.read_table(spark, sf_dir, "documents"))
+    return line_dedup.dedup(common.read_table(spark, sf_dir, "documents"), per=line_dedup.WORDS_PER_EDIT)
 
 
 def op5_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
