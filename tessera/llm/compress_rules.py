@@ -3,8 +3,8 @@
 A text's ratio is its compressed bytes over its bytes. Repetitive text lies below the
 band of its length, noise (keys, base64, symbol soup) above it. Short texts compress
 worse, so each length has limits of its own; a chunk is judged by the limits of its
-length. A text is rejected if the whole lies outside its band, or if chunks outside
-theirs hold at least `bad_share` of its bytes.
+length. A text is rejected if the whole lies outside its band, if chunks outside theirs
+hold at least `bad_share` of its bytes, or if one chunk lies further than `far` outside.
 
 Texts without words fail the base rules. Null texts have no words. Rows stand alone, so
 repeated rows, order and skew don't matter; long texts are read whole.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 SYMBOLS = b"#*$%&|<>"
-CHUNK = 4096
+CHUNK = 512
 LEVEL = 3
 
 
@@ -48,7 +48,9 @@ BANDS = (
     Band(8192, 0.385, 0.56),
     Band(32768, 0.37, 0.55),
 )
-BAD_SHARE = 0.5
+BAD_SHARE = 0.05
+#: Of labelled clean prose no chunk is out of its band at all; a chunk all of which is base64 or one repeated line is further out than this.
+FAR = 0.04
 
 FIELDS = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("n_bytes", pa.int64()), ("ratio", pa.float64()), ("least_chunk_ratio", pa.float64()), ("most_chunk_ratio", pa.float64()), ("bad_bytes", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_())]
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, ratio double, least_chunk_ratio double, most_chunk_ratio double, bad_bytes long, base_failed boolean, kept boolean"
@@ -98,7 +100,7 @@ def _dup_lines(raw: bytes) -> int:
     return n
 
 
-def rules(df: DataFrame, bands: tuple[Band, ...] = BANDS, chunk: int = CHUNK, level: int = LEVEL, bad_share: float = BAD_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rules(df: DataFrame, bands: tuple[Band, ...] = BANDS, chunk: int = CHUNK, level: int = LEVEL, bad_share: float = BAD_SHARE, far: float = FAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: the base features, the ratios and the verdict (SCHEMA)."""
     schema = pa.schema(FIELDS)
 
@@ -114,9 +116,10 @@ def rules(df: DataFrame, bands: tuple[Band, ...] = BANDS, chunk: int = CHUNK, le
             symbols = len(words) - len(words.translate(None, SYMBOLS))
             whole, parts = ratios(raw, packer, chunk)
             bad = sum(m for m, r in parts if not band(m, bands).low <= r <= band(m, bands).high)
+            farthest = max(max(band(m, bands).low - r, r - band(m, bands).high) for m, r in parts)
             fits = band(len(raw), bands).low <= whole <= band(len(raw), bands).high
             failed = n < 10 or 100 * again > 20 * n
-            rows.append((doc, n, chars, symbols, _dup_lines(raw), again, len(raw), whole, min(r for _, r in parts), max(r for _, r in parts), bad, failed, not failed and fits and bad < bad_share * max(1, len(raw))))
+            rows.append((doc, n, chars, symbols, _dup_lines(raw), again, len(raw), whole, min(r for _, r in parts), max(r for _, r in parts), bad, failed, not failed and fits and bad < bad_share * max(1, len(raw)) and farthest <= far))
         return common.batch(schema, *map(list, zip(*rows)))
 
     return common.arrow_map(common.texts(df, id_col, text_col), run, SCHEMA)

@@ -223,6 +223,29 @@ def test_bands_reject_noise_and_repetition(spark):
     assert rows == {1: False, 2: False}
 
 
+def test_one_junk_passage_in_long_prose_is_enough(spark):
+    import base64
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id")
+    kept = compress_rules.rules(docs).where("kept").select("doc_id")
+    clean = [r.text for r in docs.join(kept, "doc_id").where("length(text) between 1500 and 4000").orderBy("doc_id").limit(40).collect()]
+    junk = {"noise": base64.b64encode(bytes(random_bytes(3750))).decode(), "again": "all work and no play makes a dull day " * 10}
+    rows = [(0, "\n".join(clean)[:16_000]), (1, clean[0])]
+    for k, at in enumerate((0, 5_000, 16_000)):
+        rows.append((10 + k, rows[0][1][:at] + " " + junk["noise"] + " " + rows[0][1][at:]))
+    rows.append((20, clean[0][:700] + " " + junk["noise"][:1100] + " " + clean[0][700:]))
+    rows.append((21, rows[0][1][:9_000] + " " + junk["again"] * 3 + rows[0][1][9_000:]))
+    got = {r.doc_id: r for r in compress_rules.rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for i, r in got.items() if i != 21)
+    assert {i for i, r in got.items() if r.kept} == {0, 1}
+
+
+def random_bytes(n):
+    import random
+
+    return random.Random(2).randbytes(n)
+
+
 # -- HTML ------------------------------------------------------------------------------------------
 
 
