@@ -282,11 +282,13 @@ def omnibus_count(spark, sf):
 _FEATURES = 16
 
 
-def _vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(_FEATURES)])
+def _vectors(spark: SparkSession, sf: str, n: int = _FEATURES) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(n)])
 
 
 _F = [f"f{k}" for k in range(_FEATURES)]
+#: All dimensions of a vector, for the queries that have no SQL.
+_ALL = [f"f{k}" for k in range(64)]
 _E = "e AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS f{k}" for k in range(_FEATURES)) + " FROM embeddings)"
 _TRAIN = "vec_id % 5 <> 0 AND label > 0"
 _SCORED = f"WITH {_E}, tr AS (SELECT * FROM e WHERE {_TRAIN}), te AS (SELECT * FROM e WHERE vec_id % 5 = 0)"
@@ -365,16 +367,16 @@ def score_accuracy(spark, sf):
 def rf_predict(spark, sf):
     from pyspark.ml.classification import RandomForestClassifier
 
-    train, test = _parts(spark, sf)
-    return classify.Estimator(RandomForestClassifier(numTrees=10, seed=1)).fit(train, _F).predict(test).select("vec_id", "predicted")
+    e = _vectors(spark, sf, len(_ALL))
+    return classify.Estimator(RandomForestClassifier(numTrees=10, seed=1)).fit(e.where("vec_id % 5 <> 0"), _ALL).predict(e).select("vec_id", "predicted")
 
 
 @query(None)
 def kmeans_fit(spark, sf):
     from pyspark.ml.clustering import KMeans
 
-    e = _vectors(spark, sf)
-    return classify.Estimator(KMeans(k=9, seed=1)).fit(e, _F, None).predict(e).groupBy("predicted").count()
+    e = _vectors(spark, sf, len(_ALL))
+    return classify.Estimator(KMeans(k=9, seed=1)).fit(e, _ALL, None).predict(e).groupBy("predicted").count()
 
 
 # -- warp -------------------------------------------------------------------------------------------

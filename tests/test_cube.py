@@ -324,3 +324,16 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["k"], r["value"]) for r in spark.table("shifts").collect()] == [(1, 1e4)]
+
+
+def test_learners_without_sql_take_whole_vectors(spark, monkeypatch):
+    """Forest and k-means learn from all dimensions, and every vector gets a prediction."""
+    from tessera.operators import classify
+    from tessera.plans import queries
+
+    sf, seen, fit = "/root/testdata/sf0.001", [], classify.Estimator.fit
+    monkeypatch.setattr(classify.Estimator, "fit", lambda self, df, features, *a: seen.append(list(features)) or fit(self, df, features, *a))
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    assert sorted(r.vec_id for r in queries.rf_predict(spark, sf).collect()) == sorted(r.vec_id for r in e)
+    assert sum(r["count"] for r in queries.kmeans_fit(spark, sf).collect()) == len(e)
+    assert seen == [[f"f{k}" for k in range(len(e[0].embedding))]] * 2
