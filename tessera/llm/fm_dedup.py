@@ -9,10 +9,10 @@
    bounded number of runs.
 3. Index. A shard's texts become one text over word-block symbols (two blocks cover a
    window), its Burrows-Wheeler transform a wavelet matrix of bit vectors with rank counts:
-   a compressed FM-index. The shard's documents are streamed against it: backward search of
-   all windows, in lockstep, gives for each its matching statistic (the window's length or
-   less) and its suffix interval. Intervals of two or more are repeats; the earliest text
-   position in an interval is the first occurrence.
+   a compressed FM-index. Backward search looks up the index's own windows, in lockstep, each
+   as two block symbols; no matching statistics are computed and no other text is streamed.
+   The start of a window's suffix interval is its name: windows with one name are equal, and
+   the earliest place of a name is the first occurrence.
 4. For keys dealt over several shards the first of each shard's intervals are compared by a
    128-bit hash of the window's words.
 5. Words that a repeated later window covers are removed; the kept words are hashed.
