@@ -6,11 +6,11 @@ the input are ignored, and words are runs of bytes outside 0x20 and 0x09-0x0D.
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 #: Entries after which a per-process word cache is emptied.
 CACHE_ENTRIES = 400_000
-#: Bytes that may be broadcast; every broadcast is of bounded size and checked against this.
+#: Bytes that may be broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Has Spark delete the shuffles of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +91,11 @@ def hashed_words(texts_: list[bytes], lower: bool = False) -> tuple[np.ndarray,
     for k, t in enumerate(texts_):
         words += (t.lower() if lower else t).split()
         starts[k + 1] = len(words)
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)), starts
+    return word_hashes(words), starts
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -166,32 +172,62 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="tessera-")
 
 
+_left: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    _left.discard(path)
+
+
+@atexit.register
+def _delete_left() -> None:
+    """Tables that results still read last until the driver's process ends."""
+    spark = SparkSession.getActiveSession()
+    for path in list(_left) if spark is not None else ():
+        with suppress(Exception):  # the session may be gone, and the folder with it
+            _delete(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the shared checkpoint folder: later steps don't run the earlier ones again.
+    """The same rows, read back from a compressed table in the shared folder: later steps don't run the earlier ones again.
 
-    What the earlier steps have shuffled is of no more use and is let go of.
+    The table survives lost executors, goes with discard() or when the driver's process ends.
+    Spark drops the shuffles that led to it as soon as it is written. (checkpoint() would run
+    the last stage twice, once to count and once to write.)
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    out = df.checkpoint(eager=True)
-    del df  # the last reference to the plan that has shuffled, if the caller keeps none
-    gc.collect()
-    context._jvm.System.gc()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        _left.add(path)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what cut() wrote for these; nothing that is still to run may read them."""
+    for df in tables:
+        _delete(df.sparkSession, df._cut_at)
+
+
 @contextmanager
 def stored(df: DataFrame) -> Iterator[DataFrame]:
-    """The rows as a compressed table in the shared folder, which goes when the block ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    """cut() for the length of a block."""
+    out = cut(df)
     try:
-        yield spark.read.parquet(path)
+        yield out
     finally:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        discard(out)
 
 
 def shuffles(df: DataFrame) -> int:
@@ -199,13 +235,12 @@ def shuffles(df: DataFrame) -> int:
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, component): the least node that links reach, for every node of an edge.
+    """(node, component): the least node that links reach, for every node of an edge; a table of cut().
 
     Alternating large-star and small-star steps over the edge table; each round is a
     pair of aggregations, so no component is ever gathered in one task or the driver.
     """
-    links = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
-    links = cut(links)
+    links = cut(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -214,11 +249,13 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         up = large.where("a <> b").distinct()
         smallest = up.groupBy("a").agg(F.min("b").alias("m"))
         small = up.join(smallest, "a")
-        links = small.where("b <> m").select(F.col("b").alias("u"), F.col("m").alias("v")).union(small.select(F.col("a").alias("u"), F.col("m").alias("v"))).distinct()
-        links = cut(links)
+        last, links = links, cut(small.where("b <> m").select(F.col("b").alias("u"), F.col("m").alias("v")).union(small.select(F.col("a").alias("u"), F.col("m").alias("v"))).distinct())
+        discard(last)
         now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             break
         before = now
     stars = links.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    return stars.union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
+    out = cut(stars.union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component")))
+    discard(links)
+    return out

@@ -1,93 +1,74 @@
-"""Near-duplicate lines by a prefix join over word grams; the earliest line is kept.
-
-A line is its words. Two lines are near if a few word edits (insertions, deletions or
-substitutions) turn one into the other: one edit, or with `per` one for each `per` words
-of the longer line (one at least); lines of fewer than `least_words` words must be equal.
-A line goes if an earlier one, by (doc_id, line number), is equal or near.
-
-1. Lines are collapsed to distinct ones by a 128-bit key, with their first place and
-   number; partial sums make a line that a third of all documents have a row a task.
-2. Grams. An edit changes at most q of a line's grams of q words, so two lines within k
-   edits share SHARED of the first q k + SHARED grams of either, in any order that is the same for
-   all lines. Grams come by their hash, those that are common in some of the lines last.
-3. Grams that only one line has are done. Of the lines with one gram and about one length
-   the earliest is the pivot; the others are held against it.
-4. Lines that no pivot settles are held against all earlier lines with a gram in common.
-   Every pair is verified by the edit distance of the two lines.
+"""Near-duplicate lines by a deletion-neighbourhood join; the earliest line is kept.
+
+A line is its words. Two lines are near if their word edit distance (insertions, deletions,
+substitutions) is within the bound of the longer: one edit for each `per` words, but one edit
+from FEW words on. The bound of shorter lines is nought, so they must be equal. A line goes if
+an earlier one, by (doc_id, hash of the text, line number), is equal or near.
+
+1. Variants. Where the bound is one edit, a line has as variants itself and what is left when
+   any one word is deleted; near lines share one. Longer lines have too many of those, so all
+   but a run of words is deleted: k edits leave a run of (n - k) / (k + 1) words or more that
+   both lines have. Of the runs of q words in each such stretch the least hash is taken,
+   so both lines take the same, and a line has about one variant for three words.
+2. A variant is a row of three numbers: its hash, the line's key, and the line's length with
+   the place of the run. Lines none of whose variants another line of fitting length and
+   place has are done: nearly all of them.
+3. The rest fetch their text. Per variant a line meets the earliest line that it may be near
+   by length, place and a sketch: 128 parities of the hashed words, of which k edits change
+   2 k at most. Each pair is verified by the edit distance.
+4. Lines that are still there meet more of those that come earlier, first WIDTHS[1] more for
+   each variant, then all. A group of near copies thus costs a pair a member, not one for each two.
 5. Occurrences of lines that go are joined back to their documents.
 
-Null and empty texts have no lines that could go; lines without words always stay and are
-equal to nothing. Rows with one id count as one document: of equal places neither is
-earlier. A null id comes last.
+Null and empty texts have no lines that could go; lines without words always stay and are equal
+to nothing. Rows equal in id and text are one document twice: neither is earlier. A null id
+comes last, and rows of one id with different texts are different documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-LEAST_WORDS = 8
-#: Words of the longer line for each edit, as the queries take it.
-WORDS_PER_EDIT = 10
-#: Grams that near lines share among their first ones; that they have two at least holds for all lengths and bounds.
-SHARED = 2
-#: One line in PART is looked at for grams that COMMON of these have; COMMON_GRAMS at most are known to all tasks.
-PART, COMMON, COMMON_GRAMS = 16, 8, 50_000
+#: Words of the longer line for each edit, and the least words for one edit (a fifth of such a line).
+WORDS_PER_EDIT, FEW = 10, 5
+#: Lines that a line meets for each variant: at first, then, then all.
+WIDTHS = (1, 16, 1 << 40)
+#: Lines of a variant that one task holds at once; beyond that step 2 lets all of them pass.
+GROUP = 1 << 20
+#: Lines of a group that are held against the others in one step.
+BLOCK = 1 << 21
 LAST = (1 << 63) - 1
-_SPLIT = r"[\x20\x09-\x0D]+"
-
-
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, _SPLIT), lambda w: w != "")
-
-
-def lines(df: DataFrame) -> DataFrame:
-    """(doc_id, at, line): the lines with words of each text, words parted by one space."""
-    found = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("at", "raw"))
-    return found.select("doc_id", "at", F.trim(F.regexp_replace("raw", _SPLIT, " ")).alias("line")).where("line <> ''")
-
-
-def distinct_lines(found: DataFrame) -> DataFrame:
-    """(key, line, doc_id, at, n): each distinct line with its first place and its number."""
-    keyed = found.select(F.unhex(F.md5("line")).alias("key"), "line", "doc_id", "at")
-    return keyed.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")).select("key", "line", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"), "n")
+_ANYWHERE = (1 << 31) - 1
+_WHITE = r"[\x20\x09-\x0D]+"
+_PLACE = ("doc_id", "hash", "at")
 
 
-def _within_one(a: str, b: str) -> bool:
-    x, y = a.split(" "), b.split(" ")
-    if len(x) > len(y):
-        x, y = y, x
-    if len(y) - len(x) > 1:
-        return False
-    k = 0
-    while k < len(x) and x[k] == y[k]:
-        k += 1
-    return x[k:] == y[k + 1 :] or len(x) == len(y) and x[k + 1 :] == y[k + 1 :]
-
-
-def bound(n: int, per: int | None) -> int:
+def bound(n, per: int = WORDS_PER_EDIT):
     """Edits that a pair may differ by whose longer line has n words."""
-    return max(1, n // per) if per else 1
+    return np.maximum(n // per, np.minimum(n // FEW, 1))
 
 
-def _most(n: np.ndarray, per: int | None) -> np.ndarray:
-    """The bound of lines of n words with the longest lines that they can be near."""
-    out = np.ones(len(n), np.int64)
-    while per:
-        more = np.maximum(1, (n + out) // per)
-        if (more == out).all():
-            break
-        out = more
-    return out
+def classes(per: int) -> list[tuple[int, int, int, int]]:
+    """(least, most, q, w): a line of least to most words shares w runs of q words in a row with any near line that is no longer."""
+    ends = range(2 * per, per * per + 1)  # longer lines share no less than those of per * per words
+    shared = [-(-(n - n // per) // (n // per + 1)) for n in ends]
+    lowest = [min(shared[k:]) for k in range(len(shared))]
+    begin = [k for k in range(len(ends)) if k == 0 or lowest[k] > lowest[k - 1]]
+    most = [ends[k] - 1 for k in begin[1:]] + [LAST]
+    return [(ends[k], m, (lowest[k] + 1) // 2, lowest[k] // 2 + 1) for k, m in zip(begin, most)]
 
 
-def _distance(x: list[str], y: list[str]) -> int:
+def distance(x: list, y: list) -> int:
     """Word edit distance: a column of the table is the bits of two integers."""
     while x and y and x[-1] == y[-1]:
         x, y = x[:-1], y[:-1]
@@ -97,7 +78,7 @@ def _distance(x: list[str], y: list[str]) -> int:
     x, y = x[k:], y[k:]
     if not x or not y:
         return len(x) + len(y)
-    at: dict[str, int] = {}
+    at: dict = {}
     for k, w in enumerate(x):
         at[w] = at.get(w, 0) | 1 << k
     full, top = (1 << len(x)) - 1, 1 << (len(x) - 1)
@@ -113,110 +94,338 @@ def _distance(x: list[str], y: list[str]) -> int:
     return d
 
 
-def is_near(a: str, b: str, per: int | None = None) -> bool:
-    """Whether two lines are within the bound of the longer."""
+def is_near(a: str, b: str, per: int = WORDS_PER_EDIT) -> bool:
+    """Whether two lines, words parted by one space, are within the bound of the longer."""
     x, y = a.split(" "), b.split(" ")
-    k = bound(max(len(x), len(y)), per)
-    if abs(len(x) - len(y)) > k:
-        return False
-    return _within_one(a, b) if k == 1 else _distance(x, y) <= k
+    k = int(bound(max(len(x), len(y)), per))
+    return abs(len(x) - len(y)) <= k and distance(x, y) <= k
 
 
-def _grams(lines_: list[bytes], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The grams of all lines, the lines that they are of, and the lines' numbers of words."""
-    hashes, starts = common.hashed_words(lines_)
-    owner = np.repeat(np.arange(len(lines_)), np.diff(starts))
-    g = common.grams(hashes, q)
-    whole = owner[: len(g)] == owner[len(owner) - len(g) :] if len(g) else np.zeros(0, bool)
-    return g[whole], owner[: len(g)][whole], np.diff(starts)
+def _documents(df: DataFrame) -> DataFrame:
+    """(doc_id, hash, text): with its text's hash an id is the identity of a row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
-def _common_grams(long: DataFrame, q: int) -> np.ndarray:
-    """Grams that many of a part of the lines have, the rarest first. They only say what comes last: no result depends on them."""
-    schema = pa.schema([("gram", pa.int64())])
+def _key(words: list[bytes]) -> tuple[int, int]:
+    """The 128-bit key of a line, in halves."""
+    whole = xxhash.xxh3_128_intdigest(b" ".join(words))
+    return whole >> 64, whole & ((1 << 64) - 1)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return common.batch(schema, common.i64(_grams(b.column(0).cast(pa.binary()).to_pylist(), q)[0]))
 
-    counts = common.arrow_map(long.where(F.pmod("id", F.lit(PART)) == 0).select("line"), run, "gram long", "line").groupBy("gram").count()
-    top = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "gram").limit(COMMON_GRAMS).collect()
-    return np.array([r.gram for r in reversed(top)], np.int64).view(np.uint64)
+def lines(docs: DataFrame) -> DataFrame:
+    """(k1, k2, doc_id, hash, at): the key of each line that has words, and its place."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32())])
 
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        keys: dict[bytes, tuple[int, int] | None] = {}
+        k1, k2, row, at = [], [], [], []
+        for r, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
+            for k, raw in enumerate(text.split(b"\n")):
+                key = keys.get(raw, ())
+                if key == ():
+                    words = raw.split()
+                    key = keys[raw] = _key(words) if words else None
+                if key is not None:
+                    k1.append(key[0])
+                    k2.append(key[1])
+                    row.append(r)
+                    at.append(k)
+        row = pa.array(row, pa.int32())
+        return common.batch(schema, *(common.i64(np.array(k, np.uint64)) for k in (k1, k2)), b.column(0).take(row), b.column(1).take(row), at)
+
+    return common.arrow_map(docs, run, "k1 long, k2 long, doc_id long, hash long, at int")
+
+
+class Lines:
+    """Lines of FEW words or more: words hashed in a row, where each line begins, and its number of words."""
+
+    def __init__(self, split: list[list[bytes]]) -> None:
+        self.n = np.array([len(w) for w in split], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.n)])
+        self.hashes = common.word_hashes([w for words in split for w in words])
+
+    def deletions(self, per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, line, 0) of all variants of the lines whose bound with an equally long line is one edit."""
+        some = np.flatnonzero((self.n >= FEW - 1) & (self.n < 2 * per))
+        n, first = self.n[some], self.starts[some]
+        owner = np.repeat(np.arange(len(some)), n)
+        j = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        h = self.hashes[first[owner] + j]
+        step = np.uint64(0xA0761D6478BD642F)
+        stay, moved = common.mix(h + j.astype(np.uint64) * step), common.mix(h + (j - 1).astype(np.uint64) * step)
+        upto = np.concatenate([[np.uint64(0)], np.cumsum(stay)])
+        after = np.concatenate([[np.uint64(0)], np.cumsum(moved)])
+        begin = np.cumsum(n) - n
+        at = begin[owner] + j
+        one = (upto[at] - upto[begin[owner]]) + (after[begin[owner] + n[owner]] - after[at + 1])
+        whole = upto[begin + n] - upto[begin]
+        token = np.concatenate([common.join2(one, (n[owner] - 1).astype(np.uint64), 21), common.join2(whole, n.astype(np.uint64), 21)])
+        line = np.concatenate([some[owner], some])
+        return token, line, np.zeros(len(line), np.int64)
+
+    def runs(self, per: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(hash, line, place) of the runs taken, for each class of lengths; a run that a line has twice is anywhere."""
+        owner = np.repeat(np.arange(len(self.n)), self.n)
+        for number, (least, most, q, w) in enumerate(classes(per)):
+            g = common.grams(self.hashes, q)
+            if len(g) < w:
+                continue
+            mine = owner[: len(g)]
+            inside = (mine == owner[q - 1 :]) & (self.n[mine] >= least - least // per) & (self.n[mine] <= most)
+            order = common.mix(g ^ np.uint64(0x2545F4914F6CDD1D))
+            lowest = common.window_min(order, w)
+            whole = inside[: len(lowest)] & inside[w - 1 :] & (mine[: len(lowest)] == mine[w - 1 :])
+            taken = np.zeros(len(g), bool)
+            for d in range(w):
+                taken[d : d + len(lowest)] |= whole & (order[d : d + len(lowest)] == lowest)
+            at = np.flatnonzero(taken)
+            token, line, place = common.join2(g[at], np.full(len(at), number, np.uint64), 23), mine[at], at - self.starts[mine[at]]
+            by = np.lexsort((token, line))
+            token, line, place = token[by], line[by], place[by]
+            first = np.ones(len(by), bool)
+            first[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
+            once = first & np.append(first[1:], True)[: len(first)]
+            yield token[first], line[first], np.where(once, place, _ANYWHERE)[first]
+
+    def variants(self, per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, line, length and place in one number) of all variants."""
+        found = [self.deletions(per), *self.runs(per)]
+        token, line, place = (np.concatenate([f[k] for f in found]) for k in range(3))
+        return token, line, self.n[line] << 32 | place
+
+    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 parities for each line: an edit changes two at most."""
+        bit = self.hashes >> np.uint64(57)
+        one = np.uint64(1) << (bit & np.uint64(63))
+        halves = []
+        for half in (0, 1):
+            upto = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(np.where(bit >> np.uint64(6) == half, one, np.uint64(0)))])
+            halves.append(upto[self.starts[1:]] ^ upto[self.starts[:-1]])
+        return halves[0], halves[1]
+
+
+def variants(docs: DataFrame, per: int) -> DataFrame:
+    """(token, k1, form): the variants of all lines; lines that stand several times in one batch once."""
+    schema = pa.schema([("token", pa.int64()), ("k1", pa.int64()), ("form", pa.int64())])
 
-def grams_of(long: DataFrame, q: int, per: int | None) -> DataFrame:
-    """(token, id, words, doc_id, at): the grams by which a line meets all that it can be near."""
-    usual = _common_grams(long, q)
-    sorted_, rank = np.sort(usual), np.argsort(usual) + 1
-    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("words", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int32())])
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        raws = dict.fromkeys(raw for text in b.column(0).cast(pa.binary()).to_pylist() for raw in text.split(b"\n"))
+        split = {_key(w): w for w in (raw.split() for raw in raws) if len(w) >= FEW - 1}
+        token, line, form = Lines(list(split.values())).variants(per)
+        return common.batch(schema, common.i64(token), common.i64(np.array([k[0] for k in split], np.uint64)[line]), common.i64(form))
+
+    return common.arrow_map(docs.select("text"), run, "token long, k1 long, form long", limit=2 * common.SLICE_BYTES)
+
+
+def _fit(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray, per: int) -> np.ndarray:
+    """Whether lines of n and m words, with a variant at these places, may be near."""
+    k = bound(np.maximum(n, m), per)
+    near = np.abs(n - m) <= k
+    anywhere = (place == _ANYWHERE) | (other == _ANYWHERE)
+    return near & (anywhere | (np.abs(place - other) <= k) & (np.abs(n - place - m + other) <= k))
+
+
+def _alive(token: np.ndarray, key: np.ndarray, form: np.ndarray, per: int) -> np.ndarray:
+    """The keys of lines with a variant that a fitting line has too; tokens are sorted. May hold more, never less."""
+    same = token[1:] == token[:-1]
+    many = np.zeros(len(token), bool)
+    many[1:] |= same
+    many[:-1] |= same
+    token, key, form = token[many], key[many], form[many]
+    by = np.lexsort((key, form, token))
+    token, key, form = token[by], key[by], form[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1]) | (form[1:] != form[:-1])
+    token, key, n, place = token[new], key[new], form[new] >> 32, form[new] & ((1 << 32) - 1)
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(token)))
+    large = np.repeat(size > 16, size)
+    out = large.copy()
+    for d in range(1, min(16, int(size.max(initial=0)))):
+        met = (token[d:] == token[:-d]) & (key[d:] != key[:-d]) & _fit(n[d:], place[d:], n[:-d], place[:-d], per)
+        out[d:] |= met
+        out[:-d] |= met
+    # of a large group those whose neighbour in length is too far away are done
+    near = np.zeros(len(token), bool)
+    step = (token[1:] == token[:-1]) & (n[1:] - n[:-1] <= bound(n[1:], per))
+    near[1:] |= step
+    near[:-1] |= step
+    return np.unique(key[out & (near | ~large)])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: int, at_once: int) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Whole groups of rows with one token, many at a time; of a group of over at_once rows (if that isn't 0) parts, marked so."""
+    held: list[list[np.ndarray]] = []
+    waiting, enough, cut_token = 0, 100_000, None
+    for b in batches:
+        held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(columns)])
+        waiting += b.num_rows
+        if waiting < enough:
+            continue
+        rows = [np.concatenate(c) for c in zip(*held)]
+        end = int(np.searchsorted(rows[0], rows[0][-1]))
+        if cut_token is not None and end and rows[0][0] == cut_token:
+            first = int(np.searchsorted(rows[0], cut_token, side="right"))
+            yield [r[:first] for r in rows], True
+            rows, end, cut_token = [r[first:] for r in rows], end - first, None
+        if end:
+            yield [r[:end] for r in rows], False
+            rows = [r[end:] for r in rows]
+        if at_once and len(rows[0]) > at_once:
+            yield rows, True
+            cut_token, rows = rows[0][-1], [r[:0] for r in rows]
+        held, waiting = [rows], len(rows[0])
+        enough = 100_000 + 2 * waiting
+    rows = [np.concatenate(c) for c in zip(*held)] if held else []
+    if rows and len(rows[0]):
+        first = int(np.searchsorted(rows[0], cut_token, side="right")) if cut_token is not None and rows[0][0] == cut_token else 0
+        if first:
+            yield [r[:first] for r in rows], True
+        if first < len(rows[0]):
+            yield [r[first:] for r in rows], False
+
+
+def alive(docs: DataFrame, per: int) -> DataFrame:
+    """(k1): the keys of lines that may be near another."""
+    schema = pa.schema([("k1", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (token, key, form), part in _groups(batches, 3, GROUP):
+            yield common.batch(schema, common.i64(np.unique(key) if part else _alive(token, key, form, per)))
+
+    laid = variants(docs, per).repartition(common.shuffles(docs), "token").sortWithinPartitions("token")
+    return laid.mapInArrow(run, "k1 long").distinct()
+
+
+def fetched(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, hash, at, line): the lines at these places, words parted by one space."""
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32()), ("line", pa.string())])
+    wanted = places.groupBy("doc_id", "hash").agg(F.collect_list("at").alias("wanted"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        g, owner, words = _grams(b.column(0).cast(pa.binary()).to_pylist(), q)
-        order = np.lexsort((g, owner))
-        g, owner = g[order], owner[order]
-        same = np.zeros(len(g), bool)
-        same[1:] = (g[1:] == g[:-1]) & (owner[1:] == owner[:-1])
-        at = np.arange(len(g))
-        again = at - np.maximum.accumulate(np.where(same, 0, at)) if len(g) else at
-        token = common.join2(g, again.astype(np.uint64), 5)
-        last = np.zeros(len(g), np.int64)
-        if len(sorted_):
-            k = np.minimum(np.searchsorted(sorted_, g), len(sorted_) - 1)
-            last = np.where(sorted_[k] == g, rank[k], 0)
-        order = np.lexsort((token, last, owner))
-        token, owner = token[order], owner[order]
-        begin = np.searchsorted(owner, np.arange(len(words)))
-        kept = np.arange(len(owner)) - begin[owner] < q * _most(words, per)[owner] + SHARED
-        token, owner = token[kept], pa.array(owner[kept])
-        return common.batch(schema, common.i64(token), *[b.column(c).take(owner) for c in (1, 2, 3, 4)])
-
-    return common.arrow_map(long.select("line", "id", "words", "doc_id", "at"), run, "token long, id long, words int, doc_id long, at int", "line")
-
-
-def verified(pairs: DataFrame, long: DataFrame, per: int | None) -> DataFrame:
-    """(id, key): the lines that are near the earlier line they are paired with."""
+        row, at, line = [], [], []
+        for r, (text, numbers) in enumerate(zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist())):
+            raws = text.split(b"\n")
+            row += [r] * len(numbers)
+            at += numbers
+            line += [b" ".join(raws[k].split()).decode() for k in numbers]
+        row = pa.array(row, pa.int32())
+        return common.batch(schema, b.column(0).take(row), b.column(1).take(row), at, line)
+
+    met = docs.join(wanted.hint("merge"), ["doc_id", "hash"]).select("doc_id", "hash", "text", "wanted")
+    found = common.arrow_map(met, run, "doc_id long, hash long, at int, line string")
+    return found.groupBy(*_PLACE).agg(F.first("line").alias("line"))  # repeated rows bring theirs again
+
+
+def _met(group: list[np.ndarray], skip: int, width: int, per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, earlier line, whether there are more): for each open line the skip+1st to width-th earlier line of its group that it may be near."""
+    token, doc, hash_, at, form, s0, s1, open_ = group
+    s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
+    n, place = form >> 32, form & ((1 << 32) - 1)
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    size = np.diff(np.append(begin, len(token)))
+    first = np.repeat(begin, size)
+
+    def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        later = (doc[i] != doc[j]) | (hash_[i] != hash_[j]) | (at[i] != at[j])
+        ok = later & _fit(n[i], place[i], n[j], place[j], per)
+        i, j = i[ok], j[ok]
+        apart = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
+        ok[ok] = apart <= 2 * bound(np.maximum(n[i], n[j]), per)
+        return ok
+
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows = np.flatnonzero(open_.astype(bool) & (np.arange(len(token)) > first))
+    before = np.cumsum(rows - first[rows])
+    at_row = 0
+    while at_row < len(rows):  # as many lines at once as have BLOCK earlier ones, one at least
+        done = before[at_row - 1] if at_row else 0
+        stop = max(at_row + 1, int(np.searchsorted(before, done + BLOCK, side="right")))
+        some = rows[at_row:stop]
+        many = some - first[some]
+        i = np.repeat(some, many)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + first[i]
+        ok = may(i, j)
+        i, j = i[ok], j[ok]
+        start = np.searchsorted(i, some)
+        rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+        total = np.repeat(np.diff(np.append(start, len(i))), np.diff(np.append(start, len(i))))
+        kept = (rank >= skip) & (rank < width)
+        out.append((i[kept], j[kept], total[kept] > width))
+        at_row = stop
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+
+
+def pairs(live: DataFrame, skip: int, width: int, per: int) -> DataFrame:
+    """(doc_id, hash, at, y_doc_id, y_hash, y_at, more): lines that are open, each with earlier lines that it may be near."""
+    form = pa.schema([(c, pa.int64()) for c in ("token", "doc_id", "hash", "at", "form", "s0", "s1")] + [("open", pa.bool_())])
+
+    def emit(b: pa.RecordBatch) -> pa.RecordBatch:
+        some = Lines([x.split() for x in b.column(3).cast(pa.binary()).to_pylist()])
+        token, line, shape = some.variants(per)
+        s0, s1 = some.sketches()
+        columns = [common.i64(b.column(k).to_numpy(zero_copy_only=False)[line]) for k in range(3)]
+        return common.batch(form, common.i64(token), *columns, common.i64(shape), common.i64(s0[line]), common.i64(s1[line]), b.column(4).take(pa.array(line)))
+
+    names = [*_PLACE, *(f"y_{c}" for c in _PLACE)]
+    out = pa.schema([(c, pa.int64()) for c in names] + [("more", pa.bool_())])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, _ in _groups(batches, 8, 0):
+            i, j, more = _met(group, skip, width, per)
+            yield common.batch(out, *(common.i64(c[i]) for c in group[1:4]), *(common.i64(c[j]) for c in group[1:4]), more)
+
+    rows = common.arrow_map(live.select(*_PLACE, "line", "open"), emit, "token long, doc_id long, hash long, at long, form long, s0 long, s1 long, open boolean", "line", common.SLICE_BYTES // 4)
+    laid = rows.repartition(common.shuffles(live), "token").sortWithinPartitions("token", "doc_id", "hash", "at")
+    found = laid.mapInArrow(meet, ", ".join(f"{c} long" for c in names) + ", more boolean")
+    return found.groupBy(*names).agg(F.max("more").alias("more"))
+
+
+def _same(a: tuple[str, ...], b: tuple[str, ...]) -> Column:
+    out = F.lit(True)
+    for x, y in zip(a, b):
+        out = out & (F.col(x) == F.col(y))
+    return out
+
+
+def near_duplicates(docs: DataFrame, first: DataFrame, per: int = WORDS_PER_EDIT) -> DataFrame:
+    """(doc_id, hash, at): the first places of distinct lines that are near an earlier one. first: (k1, k2, doc_id, hash, at)."""
     near = F.pandas_udf(lambda a, b: pd.Series([is_near(x, y, per) for x, y in zip(a, b)], dtype=bool), T.BooleanType())
-    other = long.select(F.col("id").alias("other"), F.col("line").alias("other_line"), F.struct("doc_id", "at").alias("place"))
-    met = pairs.join(other.hint("merge"), "other").join(long.hint("merge"), "id")
-    return met.where((F.col("place") < F.struct("doc_id", "at")) & near("line", "other_line")).select("id", "key").distinct()
-
-
-def near_duplicates(distinct: DataFrame, least_words: int = LEAST_WORDS, per: int | None = None) -> DataFrame:
-    """(key): distinct lines that have an earlier line within the bound."""
-    if least_words < 3 or per is not None and per < 8:
-        raise ValueError("least_words must be 3 or more, per 8 or more")
-    q = min(3, (least_words - 1) // 2)
-    long = distinct.select("key", "line", F.xxhash64("line").alias("id"), F.size(F.split("line", " ")).alias("words"), "doc_id", F.col("at").cast("int").alias("at")).where(F.col("words") >= least_words - 1)
-    tokens = grams_of(long, q, per)
-    shared = common.cut(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
-    longer = F.greatest("words", "other_words")
-    fits = (longer >= least_words) & (F.abs(F.col("words") - F.col("other_words")) <= (F.greatest(F.lit(1), F.floor(longer / per)) if per else F.lit(1)))
-    earlier = F.struct("other_doc_id", "other_at") < F.struct("doc_id", "at")
-
-    def met(x: DataFrame) -> DataFrame:
-        return x.where(fits & earlier).groupBy("id", "other").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED).select("id", "other")
-
-    with common.stored(tokens.join(shared.hint("merge"), "token")) as live:
-        # lines of about one length, so that the pivot is near if the line has a large group
-        binned = live.withColumn("bin", F.floor(F.log2("words") * 4))
-        first = binned.groupBy("token", "bin").agg(F.min(F.struct("doc_id", "at", "id", "words")).alias("p"), F.count("*").alias("c")).where("c > 1")
-        first = first.select("token", "bin", F.col("p.doc_id").alias("other_doc_id"), F.col("p.at").alias("other_at"), F.col("p.id").alias("other"), F.col("p.words").alias("other_words"))
-        stars = common.cut(met(binned.join(first.hint("merge"), ["token", "bin"])))
-        found = common.cut(verified(stars, long, per))
-
-        rest = live.join(found.select("id").distinct().hint("merge"), "id", "left_anti")
-        all_ = live.select("token", *[F.col(c).alias("other" if c == "id" else f"other_{c}") for c in ("id", "words", "doc_id", "at")])
-        pairs = common.cut(met(rest.join(all_.hint("merge"), "token")).join(stars, ["id", "other"], "left_anti"))
-        return common.cut(found.select("key").union(verified(pairs, long, per).select("key")).distinct())
-
-
-def removed(df: DataFrame, least_words: int = LEAST_WORDS, per: int | None = None) -> DataFrame:
-    """(doc_id, at, near): the lines that go, and whether an equal one isn't enough of a reason."""
-    found = lines(df)
-    with common.stored(distinct_lines(found)) as distinct:
-        near = near_duplicates(distinct, least_words, per).withColumn("near", F.lit(True))
-        gone = common.cut(distinct.join(near.hint("merge"), "key", "left").where("n > 1 or near").select("key", F.col("doc_id").alias("d"), F.col("at").alias("a"), F.coalesce("near", F.lit(False)).alias("near")))
-    each = found.select(F.unhex(F.md5("line")).alias("key"), "doc_id", "at").join(gone.hint("merge"), "key")
-    return each.where(F.col("near") | (F.struct("doc_id", "at") > F.struct(F.col("d"), F.col("a")))).select("doc_id", "at", "near")
+    names = [f"y_{c}" for c in _PLACE]
+    with common.stored(alive(docs, per)) as keys:
+        live = common.cut(fetched(docs, first.join(keys.hint("merge"), "k1").select(*_PLACE)))
+    left, gone = live.select(*_PLACE).withColumn("open", F.lit(True)), []
+    for skip, width in zip((0, *WIDTHS), WIDTHS):
+        marked = live.join(left.hint("merge"), list(_PLACE), "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        other = live.select(*[F.col(c).alias(n) for c, n in zip(_PLACE, names)], F.col("line").alias("y_line"))
+        met = pairs(marked, skip, width, per).join(live.hint("merge"), list(_PLACE)).join(other.hint("merge"), names)
+        judged = met.withColumn("near", near("line", "y_line")).groupBy(*_PLACE).agg(F.max("near").alias("near"), F.max("more").alias("more"))
+        gone.append(common.cut(judged))
+        left = gone[-1].where("more and not near").select(*_PLACE).withColumn("open", F.lit(True))
+        if left.isEmpty():
+            break
+    found = gone[0]
+    for more in gone[1:]:
+        found = found.union(more)
+    out = common.cut(found.where("near").select(*_PLACE).distinct())
+    common.discard(live, *gone)
+    return out
+
+
+def removed(docs: DataFrame, per: int = WORDS_PER_EDIT) -> DataFrame:
+    """(doc_id, hash, at, near): the lines that go, and whether an earlier line is near but not equal. docs: (doc_id, hash, text)."""
+    each = common.cut(lines(docs))
+    first = each.groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.max(F.struct(*_PLACE)).alias("last"))
+    first = common.cut(first.select("k1", "k2", "first.*", (F.col("first") != F.col("last")).alias("again")))
+    found = near_duplicates(docs, first, per)
+    met = first.join(found.withColumn("near", F.lit(True)).hint("merge"), list(_PLACE), "left").where("again or near")
+    known = met.select("k1", "k2", F.struct(*_PLACE).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    out = common.cut(each.join(known.hint("merge"), ["k1", "k2"]).where(F.col("near") | (F.struct(*_PLACE) > F.col("first"))).select(*_PLACE, "near"))
+    common.discard(each, first, found)
+    return out
 
 
 def _kept_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
@@ -230,24 +439,25 @@ def _kept_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def trimmed(df: DataFrame, least_words: int = LEAST_WORDS, per: int | None = None) -> DataFrame:
-    """All rows and columns with more: __gone, the numbers of lines that go (null if none), __near and __text, what stays."""
-    gone = removed(df, least_words, per).groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set("at").alias("__gone"), F.sum(F.col("near").cast("long")).alias("__near"))
-    rows = df.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+def trimmed(df: DataFrame, per: int = WORDS_PER_EDIT) -> DataFrame:
+    """(row, gone, near, kept) of each row: its columns, the numbers of lines that go (null if none), how many are near, what stays."""
+    gone = removed(_documents(df), per).groupBy("doc_id", "hash").agg(F.collect_set("at").alias("gone"), F.count_distinct(F.when(F.col("near"), F.col("at"))).alias("near"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    rows = rows.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("hash"))
     kept = F.pandas_udf(_kept_lines, T.StringType())
-    joined = rows.join(gone.hint("merge"), "__key", "left")
-    return joined.withColumn("__text", kept(F.col("text").cast("string"), F.col("__gone"))).drop("__key")
+    joined = rows.join(gone.hint("merge"), ["doc_id", "hash"], "left")
+    return joined.select("row", "gone", F.coalesce("near", F.lit(0)).alias("near"), kept(F.col("row.text").cast("string"), F.col("gone")).alias("kept"))
 
 
-def dedup(df: DataFrame, least_words: int = LEAST_WORDS, per: int | None = None) -> DataFrame:
+def dedup(df: DataFrame, per: int = WORDS_PER_EDIT) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_near, kept_sha256) of each row."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = trimmed(df.select("doc_id", "text"), least_words, per)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__near", F.lit(0)).alias("n_near"), F.sha2(F.coalesce("__text", F.lit("")), 256).alias("kept_sha256"))
+    out = trimmed(df.select("doc_id", "text"), per)
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.col("near").alias("n_near"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
-def keep_first(df: DataFrame, least_words: int = LEAST_WORDS, per: int | None = None) -> DataFrame:
-    """The documents without the lines that go; a document all of whose words go goes too."""
-    out = trimmed(df, least_words, per)
-    stays = F.col("__gone").isNull() | (F.regexp_replace(F.coalesce("__text", F.lit("")), _SPLIT, "") != "")
-    return out.where(stays).select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in df.columns])
+def keep_first(df: DataFrame, per: int = WORDS_PER_EDIT) -> DataFrame:
+    """The documents without the lines that go, all columns with them; a document all of whose words go goes too."""
+    out = trimmed(df, per)
+    stays = F.col("gone").isNull() | (F.regexp_replace(F.coalesce("kept", F.lit("")), _WHITE, "") != "")
+    return out.where(stays).select(*[F.col("kept").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in df.columns])

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import brown_lm, common, fm_dedup, jaccard_join, line_dedup, toxicity
+from tessera.llm import brown_lm, common, fm_dedup, jaccard_join, toxicity
 
 SF = "/root/testdata/sf0.001"
 S = re.compile(r"[\x20\x09-\x0D]+")
@@ -206,104 +206,6 @@ def test_join_odd(spark, odd, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 4, 5, 7, None} and kept.where("doc_id in (3, 8)").count() == 0
 
 
-# -- line dedup ---------------------------------------------------------------------------------------
-
-
-def lines_by_hand(rows, least=8):
-    first, places = {}, []
-    for i, t in sorted((i, t or "") for i, t in rows):
-        for k, line in enumerate(t.split("\n")):
-            w = tuple(x for x in S.split(line) if x)
-            if w:
-                first.setdefault(w, (i, k))
-                places.append((i, k, w))
-    near = {x for x in first for y in first if first[y] < first[x] and max(len(x), len(y)) >= least and line_dedup._within_one(" ".join(x), " ".join(y))}
-    gone = {(i, k) for i, k, w in places if w in near or first[w] < (i, k)}
-    return collections.Counter((i, sum(a == i for a, _ in gone), hashlib.sha256("\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone).encode()).hexdigest()) for i, t in rows)
-
-
-def test_lines_of_documents(spark):
-    docs = documents(spark)
-    got = collections.Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in line_dedup.dedup(docs).collect())
-    assert got == lines_by_hand([(r.doc_id, r.text) for r in docs.collect()])
-
-
-def test_lines_within_one_edit(spark):
-    rng = random.Random(3)
-    base = [[f"w{rng.randrange(40)}" for _ in range(n)] for n in (7, 8, 9, 12, 12, 20)]
-    rows = []
-    for i in range(50):
-        lines = []
-        for _ in range(3):
-            w = list(rng.choice(base))
-            for _ in range(rng.randrange(0, 3)):
-                k = rng.randrange(len(w))
-                what = rng.randrange(3)
-                if what == 0:
-                    w[k] = "new"
-                elif what == 1:
-                    w.insert(k, "more")
-                else:
-                    del w[k]
-            lines.append(" ".join(w))
-        rows.append((i, "\n".join(lines)))
-    got = collections.Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == lines_by_hand(rows)
-
-
-def edit_distance(x, y):
-    row = list(range(len(y) + 1))
-    for i, a in enumerate(x):
-        before, row = row, [i + 1]
-        for j, b in enumerate(y):
-            row.append(min(before[j] + (a != b), before[j + 1] + 1, row[j] + 1))
-    return row[-1]
-
-
-def test_bound_grows_with_the_line(spark):
-    """Lines of 7 to 130 words with up to as many edits as one in seven words, some in groups, some with a common passage."""
-    rng = random.Random(5)
-    passage = [f"p{k}" for k in range(9)]
-    base = [[f"w{rng.randrange(60)}" for _ in range(n)] for n in (7, 9, 19, 20, 31, 60, 101, 130)]
-    rows = []
-    for i in range(60):
-        lines = []
-        for _ in range(3):
-            w = list(rng.choice(base))
-            for _ in range(rng.randrange(0, len(w) // 7 + 2)):
-                k = rng.randrange(len(w))
-                w[k : k + rng.randrange(2)] = rng.choice([[], ["new"], [f"n{rng.randrange(9)}"]])
-            lines.append(" ".join(w + passage if rng.random() < 0.3 else w))
-        rows.append((i, "\n".join(lines)))
-    places = [(i, k, tuple(line.split())) for i, t in rows for k, line in enumerate(t.split("\n"))]
-    gone, most = collections.Counter(), 0
-    for x, (i, _, a) in enumerate(places):
-        d = [(edit_distance(a, b), max(1, max(len(a), len(b)) // 10)) for _, _, b in places[:x] if a == b or max(len(a), len(b)) >= 8]
-        gone[i] += any(n <= k for n, k in d)
-        most += any(n <= k for n, k in d) and not any(n <= 1 for n, _ in d)
-    got = {r.doc_id: r.n_removed for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), per=10).collect()}
-    assert most > 20 and got == {i: gone[i] for i, _ in rows}
-    assert all(line_dedup._distance(list(a), list(b)) == edit_distance(a, b) for _, _, a in places[:40] for _, _, b in places[:40])
-
-
-def test_line_queries_take_the_growing_bound(spark, tmp_path):
-    import corpus_pipeline
-    from tessera.llm import queries
-
-    words = [f"w{k}" for k in range(40)]
-    spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x", *words[1:20], "y", *words[21:]]))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert [r.n_removed for r in queries.op4_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()] == [0, 1]
-    assert corpus_pipeline.line_stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).count() == 1
-
-
-def test_lines_odd(spark, odd, empty):
-    got = collections.Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in line_dedup.dedup(odd).collect() if r.doc_id is not None)
-    assert got == lines_by_hand(odd_rows())
-    assert line_dedup.dedup(empty).count() == 0
-    kept = line_dedup.keep_first(odd)
-    assert kept.columns == odd.columns and {4, 5, 6, 17, 1} <= {r.doc_id for r in kept.collect()}
-
-
 # -- language model -------------------------------------------------------------------------------------
 
 
