@@ -2,7 +2,10 @@
 
 Texts of any length: a long text is cut where a white-space character follows a
 non-white-space character. No match of the split pattern spans such a place and none
-looks behind, so the ids are those of the whole text. Decoding joins raw token bytes.
+looks behind, so the ids are those of the whole text. The library's pattern engine gives up
+on some hundred thousand white-space characters in a row; of such a run all but the last
+character (all, at the end of the text) are one match, whose bytes are merged without
+the engine. Decoding joins raw token bytes.
 
 Null and empty texts give no ids; repeated rows give equal rows; each row stands alone,
 so order, ties and skew don't matter.
@@ -25,6 +28,11 @@ from . import common
 #: Characters of a text that are encoded at once, about.
 PART_CHARS = 1 << 16
 _EDGE = re.compile(r"\S(?=[ \n])")
+#: White-space characters in a row that are a match without the pattern engine, and what the library takes for white space.
+LONG_WHITE = 1 << 14
+_LONG_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_WHITE)
+#: The end of split patterns by which a run of white space but its last character is one match.
+_WHITE_RULE = r"|\s+(?!\S)|\s+"
 _made: dict[str, BpeCodec] = {}
 
 
@@ -39,6 +47,8 @@ class BpeCodec:
         for token, rank in table.items():
             tokens[rank] = token
         self.tokens = tokens
+        others = pattern.removesuffix(_WHITE_RULE)
+        self.white = others != pattern and r"\s" not in others.replace(r"[^\s", "") and not re.search(r"\\[rnt]", others)
 
     def parts(self, text: str, size: int = PART_CHARS):
         at = 0
@@ -53,7 +63,14 @@ class BpeCodec:
     def encode(self, text: str) -> np.ndarray:
         if len(text) <= PART_CHARS:
             return np.array(self.encoding.encode_ordinary(text), "<u4")
-        return np.concatenate([np.array(self.encoding.encode_ordinary(x), "<u4") for x in self.parts(text)])
+        out, at = [], 0
+        for run in _LONG_WHITE.finditer(text) if self.white else ():
+            end = run.end() - (run.end() < len(text))
+            out += [self.encoding.encode_ordinary(x) for x in self.parts(text[at : run.start()])]
+            out.append(self.encoding._core_bpe.encode_single_piece(text[run.start() : end].encode()))
+            at = end
+        out += [self.encoding.encode_ordinary(x) for x in self.parts(text[at:])]
+        return np.concatenate([np.array(ids, "<u4") for ids in out])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))

@@ -117,6 +117,23 @@ def test_bpe_query(spark, odd, empty, codec):
     assert Counter((r.doc_id, bytes(r.raw)) for r in back) == Counter((i, (t or "").encode()) for i, t in ODD)
 
 
+def test_bpe_long_white_space(codec):
+    """As the library where that can: runs beyond LONG_WHITE before, between and after words, of all its white space."""
+    assert codec.white
+    runs = [" " * 20_000, "\n" * 30_000, " \n\t" * 9_000, "\u3000" * 17_000, "\x85\u2028" * 9_000, "\x1c" * 20_000, " " * 100]
+    texts = [a + "word" * k + b + c + "x's" * k for a in ("", "before 1") for k in (0, 1) for b in runs for c in ("", "!", runs[0], runs[1])]
+    for t in texts:
+        t += "y" * (bpe.PART_CHARS + 1 - len(t))
+        assert codec.encode(t).tolist() == codec.encoding.encode_ordinary(t)
+        t = t[::-1]
+        assert codec.encode(t).tolist() == codec.encoding.encode_ordinary(t)
+
+
+def test_bpe_millions_of_characters(codec):
+    for t in (" " * 3_000_000, "\n" * 2_000_000, "a" + " \n" * 1_500_000 + "b c", "ab" * 1_500_000, "7" * 2_000_000, "#" * 2_000_000, "\u3000" * 1_000_000):
+        assert codec.decode(codec.encode(t)) == t.encode()
+
+
 # -- packing --------------------------------------------------------------------------------------
 
 
