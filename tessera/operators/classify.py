@@ -108,8 +108,8 @@ class NearestCentroid:
 class KNeighbors:
     """The majority of the k nearest labelled rows; ties go to the lower label.
 
-    Labelled rows fall into blocks of about BLOCK_ROWS; each block meets the queries once,
-    in vectorised steps, and gives its k nearest, which are then merged by query.
+    Labelled rows and queries fall into blocks of about BLOCK_ROWS; a block of either meets one of
+    the other in one call, in vectorised steps, and gives the k nearest, which are then merged by query.
     """
 
     def __init__(self, k: int = 5):
@@ -121,9 +121,14 @@ class KNeighbors:
         return self
 
     def predict(self, df: DataFrame, key: str, name: str = "predicted") -> DataFrame:
-        blocks = max(1, -(-self.rows.count() // BLOCK_ROWS))
-        train = self.rows.withColumn("__block", F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int"))
-        asked = df.dropna(subset=self.features).select(F.col(key).alias("__key"), *self.features).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        # a block of labelled rows meets a block of queries: either is held whole, however many rows there are
+        blocks, parts = (max(1, -(-n // BLOCK_ROWS)) for n in (self.rows.count(), df.count()))
+
+        def deal(rows: DataFrame, key: str, block: str, n: int, other: str, others: int) -> DataFrame:
+            return rows.withColumn(block, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+        train = deal(self.rows, "__id", "__block", blocks, "__part", parts)
+        asked = deal(df.dropna(subset=self.features).select(F.col(key).alias("__key"), *self.features), "__key", "__part", parts, "__block", blocks)
         k, features = self.k, self.features
 
         def nearest(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -138,7 +143,7 @@ class KNeighbors:
                 out.append(pd.DataFrame({"__key": q, "d": np.take_along_axis(d, take, 1).ravel(), "id": rows["__id"].to_numpy()[take.ravel()], "label": rows["__label"].to_numpy()[take.ravel()]}))
             return pd.concat(out)
 
-        found = asked.groupBy("__block").cogroup(train.groupBy("__block")).applyInPandas(nearest, "__key long, d double, id long, label long")
+        found = asked.groupBy("__block", "__part").cogroup(train.groupBy("__block", "__part")).applyInPandas(nearest, "__key long, d double, id long, label long")
         best = found.groupBy("__key").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id", "label"))), 1, k).alias("near"))  # k * blocks rows for each query
         votes = best.select("__key", F.explode("near.label").alias("label")).groupBy("__key", "label").count()
         top = votes.groupBy("__key").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias(name))

@@ -89,10 +89,10 @@ def pivot_vars(spark, sf):
     return rounded(lineitem_cube(spark, sf).select("c11", "c22").to_long(), "y", "x", "t", "variable")
 
 
-@query(f"WITH {LI} SELECT y, x, " + ", ".join(f"{rs(f'max(CASE WHEN t = {k} THEN c11 END)')} AS t{k}" for k in range(4)) + " FROM li WHERE t < 4 GROUP BY y, x")
+@query(f"WITH {LI} SELECT y, x, " + ", ".join(f"{rs(f'max(CASE WHEN t = {k} THEN c11 END)')} AS t{k}" for k in range(NT)) + " FROM li GROUP BY y, x")
 def expand_variables(spark, sf):
-    cube = lineitem_cube(spark, sf).select("c11").isel(t=slice(0, 4)).expand_variables("t", "c11", range(4))
-    return rounded(cube.df.select("y", "x", *[F.col(str(k)).alias(f"t{k}") for k in range(4)]), "y", "x")
+    cube = lineitem_cube(spark, sf).select("c11").expand_variables("t", "c11", range(NT))
+    return rounded(cube.df.select("y", "x", *[F.col(str(k)).alias(f"t{k}") for k in range(NT)]), "y", "x")
 
 
 @query(f"""WITH {EV} SELECT band, CAST(min(x) AS DOUBLE) AS "left", CAST(min(y) AS DOUBLE) AS bottom, CAST(max(x) AS DOUBLE) AS "right", CAST(max(y) AS DOUBLE) AS top,
@@ -206,21 +206,23 @@ def gaussian_aniso(spark, sf):
     return rounded(lineitem_cube(spark, sf).select("c11").filter.gaussian(("y", "x"), (0.5, 1.5)).df, "y", "x", "t")
 
 
-def nlm_sql(f: int, n_eff: float, sigma: float = 1.0, h: float = 1.0) -> str:
+def nlm_sql(f: int, n_eff: float, sigma: float = 1.0, h: float = 1.0, variables: tuple[str, ...] = ("c11", "c22")) -> str:
     def at(c: str, dy: str, dx: str) -> str:
         return f"{fold_sql(f'{c}.y + {dy}', NY, 'mirror')} AND {{s}}.x = {fold_sql(f'{c}.x + {dx}', NX, 'mirror')}"
 
     o = ", ".join(f"({a}, {b})" for a in (-1, 0, 1) for b in (-1, 0, 1))
     p = ", ".join(f"({a}, {b})" for a in range(-f, f + 1) for b in range(-f, f + 1))
-    own = "CASE WHEN mw = 0 THEN 1 ELSE mw END" if n_eff <= 0 else f"CASE WHEN {n_eff} - 1 <= sw * sw / qw THEN (sw + sqrt({n_eff} * sw * sw - {n_eff} * {n_eff} * qw + {n_eff} * qw)) / ({n_eff} - 1) END"
-    return f"""WITH {LI}, {IMAGE}, o(oy, ox) AS (VALUES {o}), p(py, px) AS (VALUES {p}),
- d AS (SELECT c.y, c.x, o.oy, o.ox, (sum((a.c11 - b.c11) * (a.c11 - b.c11)) + sum((a.c22 - b.c22) * (a.c22 - b.c22))) / (2 * count(*)) AS d2
+    own = "CASE WHEN mw = 0 THEN 1 ELSE mw END" if n_eff <= 0 else f"CASE WHEN qw > 0 AND ({n_eff} - 1) * qw <= sw * sw THEN (sw + sqrt({n_eff} * sw * sw - {n_eff} * {n_eff} * qw + {n_eff} * qw)) / ({n_eff} - 1) END"
+    image_ = "img AS (SELECT y, x, " + ", ".join(f"avg({v}) AS {v}" for v in variables) + " FROM li GROUP BY y, x)"
+    squares = " + ".join(f"sum((a.{v} - b.{v}) * (a.{v} - b.{v}))" for v in variables)
+    return f"""WITH {LI}, {image_}, o(oy, ox) AS (VALUES {o}), p(py, px) AS (VALUES {p}),
+ d AS (SELECT c.y, c.x, o.oy, o.ox, ({squares}) / ({len(variables)} * count(*)) AS d2
   FROM img c CROSS JOIN o CROSS JOIN p JOIN img a ON a.y = {at('c', 'p.py', 'p.px').format(s='a')} JOIN img b ON b.y = {at('c', 'o.oy + p.py', 'o.ox + p.px').format(s='b')}
   WHERE NOT (o.oy = 0 AND o.ox = 0) GROUP BY 1, 2, 3, 4),
  w AS (SELECT *, exp(-greatest(d2 - {2 * sigma**2}, 0) / {h**2}) AS w FROM d),
- s AS (SELECT w.y, w.x, sum(w) AS sw, sum(w * w) AS qw, max(w) AS mw, sum(w * q.c11) AS s11, sum(w * q.c22) AS s22 FROM w JOIN img q ON q.y = {at('w', 'w.oy', 'w.ox').format(s='q')} GROUP BY 1, 2),
+ s AS (SELECT w.y, w.x, sum(w) AS sw, sum(w * w) AS qw, max(w) AS mw, {", ".join(f"sum(w * q.{v}) AS s_{v}" for v in variables)} FROM w JOIN img q ON q.y = {at('w', 'w.oy', 'w.ox').format(s='q')} GROUP BY 1, 2),
  z AS (SELECT *, {own} AS ow FROM s)
- SELECT z.y, z.x, {rs('(s11 + ow * img.c11) / (sw + ow)')} AS c11, {rs('(s22 + ow * img.c22) / (sw + ow)')} AS c22 FROM z JOIN img ON z.y = img.y AND z.x = img.x"""
+ SELECT z.y, z.x, {", ".join(f"{rs(f'(s_{v} + ow * img.{v}) / (sw + ow)')} AS {v}" for v in variables)} FROM z JOIN img ON z.y = img.y AND z.x = img.x"""
 
 
 @query(nlm_sql(0, -1))
@@ -238,6 +240,19 @@ def nlmeans_neff(spark, sf):
     return rounded(image(spark, sf).filter.nlmeans(("y", "x"), r=1, f=1, h=4.0, n_eff=4.0).df, "y", "x")
 
 
+_FOUR = ("c11", "c22", "c12r", "c12i")
+
+
+@query(nlm_sql(1, -1, variables=_FOUR))
+def nlmeans_four(spark, sf):
+    return rounded(lineitem_cube(spark, sf).reduce("mean", "t").filter.nlmeans(("y", "x"), r=1, f=1).df, "y", "x")
+
+
+@query(nlm_sql(1, 2.0, variables=_FOUR))
+def nlmeans_neff_h1(spark, sf):
+    return rounded(lineitem_cube(spark, sf).reduce("mean", "t").filter.nlmeans(("y", "x"), r=1, f=1, n_eff=2.0).df, "y", "x")
+
+
 # -- change detection ---------------------------------------------------------------------------
 
 def omnibus_sql(n: float | str, alpha: float, source: str, select: str) -> str:
@@ -279,7 +294,7 @@ def omnibus_count(spark, sf):
 
 # -- classification --------------------------------------------------------------------------------
 
-_FEATURES = 16
+_FEATURES = 64
 
 
 def _vectors(spark: SparkSession, sf: str, n: int = _FEATURES) -> DataFrame:
@@ -287,21 +302,19 @@ def _vectors(spark: SparkSession, sf: str, n: int = _FEATURES) -> DataFrame:
 
 
 _F = [f"f{k}" for k in range(_FEATURES)]
-#: All dimensions of a vector, for the queries that have no SQL.
-_ALL = [f"f{k}" for k in range(64)]
 _E = "e AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS f{k}" for k in range(_FEATURES)) + " FROM embeddings)"
 _TRAIN = "vec_id % 5 <> 0 AND label > 0"
-_SCORED = f"WITH {_E}, tr AS (SELECT * FROM e WHERE {_TRAIN}), te AS (SELECT * FROM e WHERE vec_id % 5 = 0)"
+_SCORED = f"WITH {_E}, tr AS (SELECT * FROM e WHERE {_TRAIN}), te AS (SELECT * FROM e)"
 
 
 def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     e = _vectors(spark, sf)
-    return e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0")
+    return e.where("vec_id % 5 <> 0"), e
 
 
-@query(f"""WITH {LI} SELECT y, x, """ + ", ".join(f"{rs(f'max(CASE WHEN t = {k} THEN {v} END)')} AS {v}_{k}" for k in range(3) for v in ("c11", "c22")) + """, CAST((x + y) % 3 AS INTEGER) AS label FROM li WHERE t < 3 AND (x + y) % 3 > 0 GROUP BY y, x""")
+@query(f"""WITH {LI} SELECT y, x, """ + ", ".join(f"{rs(f'max(CASE WHEN t = {k} THEN {v} END)')} AS {v}_{k}" for k in range(NT) for v in ("c11", "c22")) + """, CAST((x + y) % 3 AS INTEGER) AS label FROM li WHERE (x + y) % 3 > 0 GROUP BY y, x""")
 def make_xy(spark, sf):
-    cube = lineitem_cube(spark, sf).select("c11", "c22").isel(t=slice(0, 3))
+    cube = lineitem_cube(spark, sf).select("c11", "c22")
     labels = cube.isel(t=0).df.select("y", "x", ((F.col("x") + F.col("y")) % 3).cast("int").alias("label"))
     rows, features = classify.make_xy(cube, labels, ["y", "x"], ["t"])
     return rounded(classify.labelled(rows, features).select("y", "x", *features, "label"), "y", "x")
@@ -367,16 +380,16 @@ def score_accuracy(spark, sf):
 def rf_predict(spark, sf):
     from pyspark.ml.classification import RandomForestClassifier
 
-    e = _vectors(spark, sf, len(_ALL))
-    return classify.Estimator(RandomForestClassifier(numTrees=10, seed=1)).fit(e.where("vec_id % 5 <> 0"), _ALL).predict(e).select("vec_id", "predicted")
+    e = _vectors(spark, sf)
+    return classify.Estimator(RandomForestClassifier(numTrees=10, seed=1)).fit(e.where("vec_id % 5 <> 0"), _F).predict(e).select("vec_id", "predicted")
 
 
 @query(None)
 def kmeans_fit(spark, sf):
     from pyspark.ml.clustering import KMeans
 
-    e = _vectors(spark, sf, len(_ALL))
-    return classify.Estimator(KMeans(k=9, seed=1)).fit(e, _ALL, None).predict(e).groupBy("predicted").count()
+    e = _vectors(spark, sf)
+    return classify.Estimator(KMeans(k=9, seed=1)).fit(e, _F, None).predict(e).groupBy("predicted").count()
 
 
 # -- warp -------------------------------------------------------------------------------------------

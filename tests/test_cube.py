@@ -105,8 +105,37 @@ def test_nlmeans(spark, noise):
     cube = cube_of(spark, noise)
     assert np.allclose(array_of(cube.filter.nlmeans(("y", "x"), r=1, f=1, sigma=0.3, h=0.8)), nlm_direct(noise, 1, 1, 0.3, 0.8))
     assert cube.filter.nlmeans(("y", "x"), r=0) is cube
-    n_eff = cube.spark.range(1).select(nlmeans.self_weight(F.lit(3.0), F.lit(2.0), 4.0).alias("w")).first()["w"]
-    assert (3 + n_eff) ** 2 / (2 + n_eff**2) == pytest.approx(4.0)
+    own, none, zero = nlmeans.self_weight(np.array([3.0, 3.0, 0.0]), np.array([2.0, 9.0, 0.0]), np.array([4.0]))
+    assert (3 + own) ** 2 / (2 + own**2) == pytest.approx(4.0) and np.isnan(none) and np.isnan(zero)
+
+
+def test_nlmeans_of_tiles(spark, monkeypatch):
+    """Small tiles and a gap give what one tile gives; many variables and dims by plain loops."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(11, 13, 5, 2))
+    places = list(np.ndindex(11, 13, 5))
+    rows = [(*p, float(a[p][0]), float(a[p][1])) for p in places]
+    cube = Cube.of(spark.createDataFrame(rows, "y int, x int, t int, a double, b double"), {"y": 11, "x": 13, "t": 5})
+    args = {"dims": ("t", "y", "x"), "r": (1, 2, 2), "f": 1, "sigma": 0.2, "h": 0.7}
+    whole = {(r.y, r.x, r.t): (r.a, r.b) for r in cube.filter.nlmeans(**args).df.collect()}
+    monkeypatch.setattr(nlmeans, "TILE_OF_MANY", 4)
+    parts = {(r.y, r.x, r.t): (r.a, r.b) for r in cube.filter.nlmeans(**args).df.collect()}
+    assert whole.keys() == parts.keys() == set(places) and all(np.allclose(whole[p], parts[p]) for p in places)
+    for p in places[::37]:
+        at = lambda q: a[tuple(fold(i, n, "mirror") for i, n in zip(q, (11, 13, 5)))]
+        w, v = [], []
+        for q in np.ndindex(5, 5, 3):
+            o = np.array(q) - (2, 2, 1)
+            if o.any():
+                d = np.mean([(at(np.array(p) + s) - at(np.array(p) + o + s)) ** 2 for s in (np.array(m) - 1 for m in np.ndindex(3, 3, 3))])
+                w.append(np.exp(-max(d - 0.08, 0) / 0.49))
+                v.append(at(np.array(p) + o))
+        assert np.allclose(whole[p], (np.dot(w, np.array(v)) + max(w) * a[p]) / (sum(w) + max(w)))
+    far = Cube.of(spark.createDataFrame([(0, k, 1000.0 * k) for k in range(6)], "y int, x int, v double"), {"y": 1, "x": 6})
+    assert [r.v for r in far.filter.nlmeans(("y", "x"), r=(0, 1), n_eff=2).df.collect()] == [None] * 6  # all weights are 0
+    assert array_of(far.filter.nlmeans(("y", "x"), r=(0, 1)), "v").tolist() == [[1000.0 * k for k in range(6)]]
+    gap = Cube.of(spark.createDataFrame([(0, k, 1.0) for k in range(9) if k != 4], "y int, x int, v double"), {"y": 1, "x": 9})
+    assert {r.x for r in gap.filter.nlmeans(("y", "x"), r=(0, 1)).df.where("v is null").collect()} == {2, 3, 4, 5, 6}
 
 
 def test_omnibus_step_change(spark):
