@@ -180,20 +180,58 @@ class Cube:
 
     # -- the grid --------------------------------------------------------------------------
 
+    @property
+    def crs(self):
+        """The reference system by the attributes crs or coordinate_system_string; None if there is neither."""
+        from .functions import projection
+
+        name = self.attrs.get("crs", self.attrs.get("coordinate_system_string"))
+        return None if name is None else projection.parse(name)
+
+    @property
+    def _given_transform(self) -> tuple[float, ...] | None:
+        """The transform of the metadata: (a, b, c, d, e, f), or i2m as text (a, d, b, e, c, f)."""
+        if "transform" in self.attrs:
+            return tuple(map(float, self.attrs["transform"][:6]))
+        if "i2m" in self.attrs:
+            a, d, b, e, c, f = map(float, str(self.attrs["i2m"]).split(","))
+            return a, b, c, d, e, f
+        return None
+
     @property
     def bounds(self) -> tuple[float, float, float, float]:
-        """left, bottom, right, top of the cell coordinates."""
-        ends = {d: sorted((c[0], c[0] + (self.dims[d] - 1) * c[1])) for d, c in self.coords.items()}
-        return ends["x"][0], ends["y"][0], ends["x"][1], ends["y"][1]
+        """left, bottom, right, top of the cell coordinates; failing these of the corners by the metadata's transform, or its bounds."""
+        if "x" in self.coords and "y" in self.coords:
+            ends = {d: sorted((c[0], c[0] + (self.dims[d] - 1) * c[1])) for d, c in self.coords.items()}
+            return ends["x"][0], ends["y"][0], ends["x"][1], ends["y"][1]
+        t = self._given_transform
+        if t is not None:
+            corners = [(t[0] * x + t[1] * y + t[2], t[3] * x + t[4] * y + t[5]) for x in (0, self.dims["x"] - 1) for y in (0, self.dims["y"] - 1)]
+            return min(c[0] for c in corners), min(c[1] for c in corners), max(c[0] for c in corners), max(c[1] for c in corners)
+        if "bounds" in self.attrs:
+            return tuple(self.attrs["bounds"])
+        raise ValueError("neither coordinates nor metadata tell the bounds")
 
     @property
     def resolution(self) -> tuple[float, float]:
-        return abs(self.coords["x"][1]), abs(self.coords["y"][1])
+        if "x" in self.coords and "y" in self.coords:
+            return abs(self.coords["x"][1]), abs(self.coords["y"][1])
+        t = self._given_transform
+        if t is not None:
+            return abs(t[0]), abs(t[4])
+        if "res" in self.attrs:
+            return tuple(self.attrs["res"])
+        raise ValueError("neither coordinates nor metadata tell the resolution")
 
     @property
     def transform(self) -> tuple[float, ...]:
         """(a, b, c, d, e, f): x = a col + b row + c, y = d col + e row + f; the offset is the first coordinate."""
-        return self.coords["x"][1], 0.0, self.coords["x"][0], 0.0, self.coords["y"][1], self.coords["y"][0]
+        if "x" in self.coords and "y" in self.coords:
+            return self.coords["x"][1], 0.0, self.coords["x"][0], 0.0, self.coords["y"][1], self.coords["y"][0]
+        t = self._given_transform
+        if t is None:
+            raise ValueError("neither coordinates nor metadata tell the transform")
+        return t
 
     # -- storage ---------------------------------------------------------------------------
 

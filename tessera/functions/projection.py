@@ -1,7 +1,8 @@
 """Map projections as column expressions and as plain functions of floats.
 
 Families: longlat (EPSG:4326), web Mercator (3857), ellipsoidal Mercator (3395), sinusoidal,
-transverse Mercator, Lambert azimuthal equal area and Albers equal area, on WGS84 or a sphere.
+transverse Mercator, Lambert azimuthal equal area and Albers equal area, on WGS84 or a sphere,
+transverse Mercator on other ellipsoids too (a, rf) with a datum shift (towgs84), as for the British grid.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ _EPSG = {
     3857: CRS("webmerc", {}, 3857),
     3395: CRS("merc", {}, 3395),
     2163: CRS("laea", {"lat_0": 45.0, "lon_0": -100.0, "radius": 6370997.0}, 2163),
+    27700: CRS("tmerc", {"lat_0": 49.0, "lon_0": -2.0, "k_0": 0.9996012717, "x_0": 400000.0, "y_0": -100000.0, "a": 6377563.396, "rf": 299.3249646, "towgs84": (446.448, -125.157, 542.06, 0.15, 0.247, 0.842, -20.489)}, 27700),
     3086: CRS("aea", {"lat_0": 24.0, "lon_0": -84.0, "lat_1": 24.0, "lat_2": 31.5, "x_0": 400000.0}, 3086),
 }
 _ZONE = re.compile(r"32([67])(\d\d)$")
@@ -88,17 +90,17 @@ def _deg(x):
     return x * (180 / math.pi)
 
 
-def _meridian(f, lat):
+def _meridian(f, lat, a=A, flat=FLAT):
     """Length along the meridian from the equator."""
-    n = FLAT / (2 - FLAT)
-    a0 = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    n = flat / (2 - flat)
+    a0 = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     return a0 * (lat - (3 * n / 2 - 9 * n**3 / 16) * f.sin(lat * 2) + (15 * n**2 / 16 - 15 * n**4 / 32) * f.sin(lat * 4) - 35 * n**3 / 48 * f.sin(lat * 6) + 315 * n**4 / 512 * f.sin(lat * 8))
 
 
-def _foot(f, m):
+def _foot(f, m, a=A, flat=FLAT):
     """The latitude at a length along the meridian."""
-    n = FLAT / (2 - FLAT)
-    mu = m / (A / (1 + n) * (1 + n**2 / 4 + n**4 / 64))
+    n = flat / (2 - flat)
+    mu = m / (a / (1 + n) * (1 + n**2 / 4 + n**4 / 64))
     return mu + (3 * n / 2 - 27 * n**3 / 32) * f.sin(mu * 2) + (21 * n**2 / 16 - 55 * n**4 / 32) * f.sin(mu * 4) + 151 * n**3 / 96 * f.sin(mu * 6) + 1097 * n**4 / 512 * f.sin(mu * 8)
 
 
@@ -107,6 +109,32 @@ def _q(f, s):
     return (1 - E2) * (s / (1 - s * s * E2) - f.log((1 - s * e) / (1 + s * e)) * (1 / (2 * e)))
 
 
+def _ellipsoid(p: dict) -> tuple[float, float, float]:
+    """Half axis, flattening and squared eccentricity."""
+    flat = 1 / p["rf"] if "rf" in p else FLAT
+    return p.get("a", A), flat, flat * (2 - flat)
+
+
+def _datum(f, lon, lat, p: dict, back: bool):
+    """Degrees on WGS84 as degrees on the system's own ellipsoid, or back: three shifts in metres, three turns in seconds and a scale in millionths."""
+    dx, dy, dz, rx, ry, rz, ds = p["towgs84"]
+    (rx, ry, rz), m = (math.radians(r / 3600) for r in (rx, ry, rz)), 1 + ds * 1e-6
+    (a1, _, e1), (a2, _, e2) = ((_ellipsoid(p), (A, FLAT, E2)) if back else ((A, FLAT, E2), _ellipsoid(p)))
+    lam, phi = _rad(lon), _rad(lat)
+    nu = a1 / f.sqrt(1 - f.sin(phi) * f.sin(phi) * e1)
+    x, y, z = nu * f.cos(phi) * f.cos(lam), nu * f.cos(phi) * f.sin(lam), nu * f.sin(phi) * (1 - e1)
+    if back:
+        x, y, z = (x - y * rz + z * ry) * m + dx, (x * rz + y - z * rx) * m + dy, (y * rx - x * ry + z) * m + dz
+    else:  # the turns are so small that the transposed matrix is the inverse
+        x, y, z = (x - dx) / m, (y - dy) / m, (z - dz) / m
+        x, y, z = x + y * rz - z * ry, y - x * rz + z * rx, z + x * ry - y * rx
+    r = f.sqrt(x * x + y * y)
+    phi = f.atan2(z, r * (1 - e2))
+    for _ in range(4):  # converges by a factor of 150 a step
+        phi = f.atan2(z + f.sin(phi) * e2 * a2 / f.sqrt(1 - f.sin(phi) * f.sin(phi) * e2), r)
+    return _deg(f.atan2(y, x)), _deg(phi)
+
+
 def _albers(c: CRS) -> tuple[float, float, float]:
     p = c.params
     phi1, phi2, phi0 = (_rad(p.get(k, 0.0)) for k in ("lat_1", "lat_2", "lat_0"))
@@ -126,6 +154,8 @@ def forward(crs: CRS, lon, lat):
     x0, y0 = p.get("x_0", 0.0), p.get("y_0", 0.0)
     if crs.family == "longlat":
         return lon, lat
+    if "towgs84" in p:
+        lon, lat = _datum(f, lon, lat, p, back=False)
     lam, phi = _rad(lon - p.get("lon_0", 0.0)), _rad(lat)
     if crs.family == "webmerc":
         return lam * A, f.log(f.tan(phi / 2 + math.pi / 4)) * A
@@ -136,13 +166,13 @@ def forward(crs: CRS, lon, lat):
     if crs.family == "sinu":
         return lam * f.cos(phi) / f.sqrt(1 - f.sin(phi) * f.sin(phi) * E2) * A + x0, _meridian(f, phi) + y0
     if crs.family == "tmerc":
-        k0 = p.get("k_0", p.get("k", 1.0))
+        k0, (half, flat, e2) = p.get("k_0", p.get("k", 1.0)), _ellipsoid(p)
         s, c, t = f.sin(phi), f.cos(phi), f.tan(phi)
-        ep = E2 / (1 - E2)
-        nu = A / f.sqrt(1 - s * s * E2)
+        ep = e2 / (1 - e2)
+        nu = half / f.sqrt(1 - s * s * e2)
         tt, cc, a = t * t, c * c * ep, lam * c
         x = nu * (a + (1 - tt + cc) * a * a * a / 6 + (5 - tt * 18 + tt * tt + cc * 72 - 58 * ep) * a * a * a * a * a / 120)
-        y = _meridian(f, phi) - _meridian(_Floats, _rad(p.get("lat_0", 0.0))) + nu * t * (a * a / 2 + (5 - tt + cc * 9 + cc * cc * 4) * a * a * a * a / 24 + (61 - tt * 58 + tt * tt + cc * 600 - 330 * ep) * a * a * a * a * a * a / 720)
+        y = _meridian(f, phi, half, flat) - _meridian(_Floats, _rad(p.get("lat_0", 0.0)), half, flat) + nu * t * (a * a / 2 + (5 - tt + cc * 9 + cc * cc * 4) * a * a * a * a / 24 + (61 - tt * 58 + tt * tt + cc * 600 - 330 * ep) * a * a * a * a * a * a / 720)
         return x * k0 + x0, y * k0 + y0
     if crs.family == "laea":  # on a sphere
         r, phi0 = p.get("radius", A), _rad(p.get("lat_0", 0.0))
@@ -175,15 +205,17 @@ def inverse(crs: CRS, x, y):
         phi = _foot(f, y)
         return _deg(x * f.sqrt(1 - f.sin(phi) * f.sin(phi) * E2) / (f.cos(phi) * A)) + lon0, _deg(phi)
     if crs.family == "tmerc":
-        k0, ep = p.get("k_0", p.get("k", 1.0)), E2 / (1 - E2)
-        phi = _foot(f, y / k0 + _meridian(_Floats, _rad(p.get("lat_0", 0.0))))
+        k0, (half, flat, e2) = p.get("k_0", p.get("k", 1.0)), _ellipsoid(p)
+        ep = e2 / (1 - e2)
+        phi = _foot(f, y / k0 + _meridian(_Floats, _rad(p.get("lat_0", 0.0)), half, flat), half, flat)
         s, c, t = f.sin(phi), f.cos(phi), f.tan(phi)
-        nu = A / f.sqrt(1 - s * s * E2)
-        rho = A * (1 - E2) / ((1 - s * s * E2) * f.sqrt(1 - s * s * E2))
+        nu = half / f.sqrt(1 - s * s * e2)
+        rho = half * (1 - e2) / ((1 - s * s * e2) * f.sqrt(1 - s * s * e2))
         tt, cc, d = t * t, c * c * ep, x / (nu * k0)
         lat = phi - nu * t / rho * (d * d / 2 - (5 + tt * 3 + cc * 10 - cc * cc * 4 - 9 * ep) * d * d * d * d / 24 + (61 + tt * 90 + cc * 298 + tt * tt * 45 - 252 * ep - cc * cc * 3) * d * d * d * d * d * d / 720)
         lon = (d - (1 + tt * 2 + cc) * d * d * d / 6 + (5 - cc * 2 + tt * 28 - cc * cc * 3 + 8 * ep + tt * tt * 24) * d * d * d * d * d / 120) / c
-        return _deg(lon) + lon0, _deg(lat)
+        lon, lat = _deg(lon) + lon0, _deg(lat)
+        return _datum(f, lon, lat, p, back=True) if "towgs84" in p else (lon, lat)
     if crs.family == "laea":
         r, phi0 = p.get("radius", A), _rad(p.get("lat_0", 0.0))
         rho = f.sqrt(x * x + y * y)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,3 +88,23 @@ def parallel(cube: Cube, fn: Callable[[pd.DataFrame], pd.DataFrame], dim: str, c
         return out[out[dim] // size == key[0]]
 
     return cube.with_df(split(cube, {dim: size}, buffer).groupBy(f"tile_{dim}").applyInPandas(run, schema))
+
+
+def _ends(cube: Cube, dim: str) -> tuple[float, float]:
+    first, step = cube.coords.get(dim, (0.0, 1.0))
+    return first, first + (cube.dims[dim] - 1) * step
+
+
+def sort_key(cube: Cube, dims: Sequence[str]) -> tuple[float, ...]:
+    """The first and last coordinate along each dim, negative where they fall: sorts tiles as they lie."""
+    return tuple(sign * c for first, last in (_ends(cube, d) for d in dims) for sign in (1 if last >= first else -1,) for c in (first, last))
+
+
+def sort_into_array(cubes: Sequence[Cube], dims: Sequence[str] | None = None) -> np.ndarray:
+    """An array of the tiles as they lie: an axis for each dim, tiles by their first coordinate in its direction."""
+    dims = list(dims or cubes[0].dims)
+    firsts = {d: sorted({_ends(c, d)[0] for c in cubes}, reverse=any(_ends(c, d)[1] < _ends(c, d)[0] for c in cubes)) for d in dims}
+    out = np.empty([len(firsts[d]) for d in dims], dtype=object)
+    for c in cubes:
+        out[tuple(firsts[d].index(_ends(c, d)[0]) for d in dims)] = c
+    return out

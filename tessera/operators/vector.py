@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cube import Cube
+from ..functions import projection
+from ..functions.general import parse_date
 
 GEOMETRY = "array<array<struct<x:double,y:double>>>"
 
@@ -96,18 +98,46 @@ def burn(features: DataFrame, cube: Cube, value: str, order: str = "feature_id",
     return hit.groupBy(*extra, "y", "x").agg(F.max_by(value, order).alias(value))
 
 
-def rasterize(features: DataFrame, cube: Cube, columns: Sequence[str], order: str = "feature_id", geometry: str = "geometry", encode: bool = True) -> tuple[Cube, dict[str, DataFrame]]:
-    """Columns burned onto the grid, 0 elsewhere; strings become codes from 1 with a legend."""
+def reprojected(features: DataFrame, source, target, geometry: str = "geometry") -> DataFrame:
+    """The corners of all features in another reference system."""
+    a, b = projection.parse(source), projection.parse(target)
+
+    def moved(p: Column) -> Column:
+        x, y = projection.convert(a, b, p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return features.withColumn(geometry, F.transform(geometry, lambda ring: F.transform(ring, moved)))
+
+
+def rasterize(features: DataFrame, cube: Cube, columns: Sequence[str], order: str = "feature_id", geometry: str = "geometry", encode: bool = True, date_field: str | None = None, date_fmt: str | None = None, crs=None) -> tuple[Cube, dict[str, DataFrame]]:
+    """Columns burned onto the grid, 0 elsewhere; strings become codes from 1 with a legend.
+
+    With a date field the features of each date make a step of a time axis, whose dates are in attrs["time"];
+    features without a date are on none. crs: that of the features, if it isn't the cube's.
+    """
     from .reduce import factorize
 
+    if crs is not None:
+        features = reprojected(features, crs, cube.attrs.get("crs", 4326), geometry)
+    dims, extra, attrs = {"y": cube.dims["y"], "x": cube.dims["x"]}, [], dict(cube.attrs)
+    spatial = Cube(cube.df, dims, (), cube.coords, cube.attrs)
+    if date_field is not None:
+        if date_field not in features.columns:
+            raise ValueError(f"Field {date_field} does not exist.")
+        kind = dict(features.dtypes)[date_field]
+        day = parse_date(F.col(date_field), date_fmt) if kind == "string" else F.col(date_field).cast("timestamp_ntz")
+        dated = features.withColumn("__day", day).where("__day is not null")
+        days = [r[0] for r in dated.select("__day").distinct().orderBy("__day").collect()]  # the cube's axis
+        steps = features.sparkSession.createDataFrame(list(enumerate(days)), "t int, __day timestamp_ntz")
+        features = dated.join(F.broadcast(steps), "__day").drop("__day")  # a row for each step of the axis
+        dims, extra, attrs = {**dims, "t": len(days)}, ["t"], {**attrs, "time": [d.isoformat() for d in days]}
     legends: dict[str, DataFrame] = {}
-    spatial = Cube(cube.df, {"y": cube.dims["y"], "x": cube.dims["x"]}, (), cube.coords, cube.attrs)
-    out = spatial.grid()
+    out = Cube(cube.df, dims, ()).grid()
     for c in columns:
         source = features
         if encode and dict(features.dtypes)[c] == "string":
             source, legends[c] = factorize(features, c, order, "__code")
             source = source.drop(c).withColumnRenamed("__code", c)
-        out = out.join(burn(source, spatial, c, order, geometry=geometry), ["y", "x"], "left")
+        out = out.join(burn(source, spatial, c, order, extra, geometry), [*extra, "y", "x"], "left")
     numbers = [c for c in columns if encode or dict(features.dtypes)[c] != "string"]
-    return Cube(out.fillna(0, subset=numbers), spatial.dims, tuple(columns), cube.coords, cube.attrs), legends
+    return Cube(out.fillna(0, subset=numbers).select(*dims, *columns), dims, tuple(columns), cube.coords, attrs), legends

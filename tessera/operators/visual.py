@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,31 @@ def ramp(n: int = 256) -> list[tuple[int, int, int]]:
     return out
 
 
+def coloured(cube: Cube, label: str, colours: Sequence[tuple[int, int, int]] | None = None) -> DataFrame:
+    """dims..., r, g, b of a cube of labels: a colour for each label in turn, black where there is none."""
+    table = [tuple(c) for c in colours or ramp(16)]
+    level = F.pmod(F.col(label), F.lit(len(table))).cast("int")
+    pick = lambda k: F.when(F.col(label).isNotNull(), F.get(F.array(*[F.lit(int(c[k])) for c in table]), level)).otherwise(0)
+    return cube.df.select(*cube.dims, *[pick(k).alias(n) for k, n in enumerate("rgb")])
+
+
+def colour_mapped(cube: Cube, variable: str, colours: Sequence[tuple[int, int, int]] | None = None, by: Sequence[str] = (), **kw) -> DataFrame:
+    """dims..., r, g, b of one variable, stretched and then looked up in a colour map of 256 entries at most."""
+    table = [tuple(c) for c in colours or ramp()]
+    grey = rgb(cube, [F.col(variable)], by=by, **kw)
+    level = F.floor(F.col("grey") * (len(table) - 1) / 255).cast("int")
+    return grey.select(*cube.dims, *[F.get(F.array(*[F.lit(int(c[k])) for c in table]), level).alias(n) for k, n in enumerate("rgb")])
+
+
+def scaled(frame: DataFrame, old: tuple[int, int], shape: tuple[int | None, int | None] | None, keys: Sequence[str] = ()) -> DataFrame:
+    """A picture (keys..., y, x, channels) in another height and width, by the nearest cell: each target cell reads one."""
+    height, width = calculate_shape(shape, old)
+    channels = [c for c in frame.columns if c not in ("y", "x", *keys)]
+    grid = frame.sparkSession.range(height * width).select(F.floor(F.col("id") / width).cast("int").alias("__y"), (F.col("id") % width).cast("int").alias("__x"))
+    taps = grid.select("__y", "__x", F.floor((F.col("__y") + 0.5) * old[0] / height).cast("int").alias("y"), F.floor((F.col("__x") + 0.5) * old[1] / width).cast("int").alias("x"))
+    return frame.join(taps, ["y", "x"]).select(*keys, F.col("__y").alias("y"), F.col("__x").alias("x"), *channels)
+
+
 def colorize(df: DataFrame, label: str, n: int, name: str = "level") -> DataFrame:
     """The level 0..255 of a label's colour, of n colours in turn."""
     return df.withColumn(name, F.floor(F.pmod(F.col(label), F.lit(n)) * 255 / (n - 1)).cast("int"))
@@ -95,5 +121,29 @@ def frames(cube: Cube, time: str = "t", **kw) -> DataFrame:
     return rgb(cube, by=[time], **kw)
 
 
-def write_video(*_a, **_kw):
-    raise NotImplementedError("video codecs are not available; write the pictures of frames() with write_png()")
+def write_video(cube: Cube, path: str, time: str = "t", fps: int = 1, limit: int = 64_000_000, **kw) -> None:
+    """The composites of all time steps as an AVI file of uncompressed pictures, drawn one after the other on the driver."""
+    height, width, steps = cube.dims["y"], cube.dims["x"], cube.dims[time]
+    if height * width > limit:
+        raise ValueError(f"pictures of more than {limit} cells aren't drawn on the driver")
+    rows, stride = frames(cube, time, **kw), -(-3 * width // 4) * 4
+    names = [n for n in ("r", "g", "b", "grey") if n in rows.columns]
+    size = stride * height
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return kind + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+
+    header = struct.pack("<14I", 1_000_000 // fps, size * fps, 0, 0x10, steps, 0, 1, size, width, height, 0, 0, 0, 0)
+    stream = struct.pack("<4s4sIHHIIIIIIIIHHHH", b"vids", b"DIB ", 0, 0, 0, 0, 1, fps, 0, steps, size, 0, size, 0, 0, width, height)
+    picture = struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, size, 0, 0, 0, 0)
+    head = chunk(b"LIST", b"hdrl" + chunk(b"avih", header) + chunk(b"LIST", b"strl" + chunk(b"strh", stream) + chunk(b"strf", picture)))
+    movie = 4 + steps * (8 + size)
+    with open(path, "wb") as f:
+        f.write(b"RIFF" + struct.pack("<I", 4 + len(head) + 8 + movie + 8 + 16 * steps) + b"AVI " + head + b"LIST" + struct.pack("<I", movie) + b"movi")
+        for k in range(steps):
+            image = np.zeros((height, stride), np.uint8)
+            for r in rows.where(F.col(time) == k).select("y", "x", *names).toLocalIterator():
+                levels = [0 if v is None else v for v in r[2:]]
+                image[height - 1 - r[0], 3 * r[1] : 3 * r[1] + 3] = (levels * 3 if len(levels) == 1 else levels)[2::-1]  # from the bottom up, blue first
+            f.write(chunk(b"00db", image.tobytes()))
+        f.write(b"idx1" + struct.pack("<I", 16 * steps) + b"".join(struct.pack("<4sIII", b"00db", 0x10, 4 + k * (8 + size), size) for k in range(steps)))

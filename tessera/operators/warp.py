@@ -97,6 +97,15 @@ def extent(cube: Cube) -> tuple[float, float, float, float]:
     return projected_bounds(cube, projection.parse(4326))
 
 
+def common_extent(cubes: Sequence[Cube]) -> tuple[float, float, float, float]:
+    """The bounds in degrees of all cubes together, each in its own system."""
+    first = projection.parse(cubes[0].attrs.get("crs", 4326))
+    boxes = [projected_bounds(c, first) for c in cubes]
+    left, bottom, right, top = (fn(b[k] for b in boxes) for k, fn in enumerate((min, min, max, max)))
+    whole = Cube(cubes[0].df, {"y": 2, "x": 2}, (), {"x": (left, right - left), "y": (bottom, top - bottom)}, {"crs": first})
+    return projected_bounds(whole, projection.parse(4326))
+
+
 def geometry(cube: Cube, crs=4326) -> list[tuple[float, float]]:
     """The ring of the corners in another system."""
     source, target = projection.parse(cube.attrs.get("crs", 4326)), projection.parse(crs)
