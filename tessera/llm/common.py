@@ -15,7 +15,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +22,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 #: Entries after which a per-process word cache is emptied.
 CACHE_ENTRIES = 400_000
+#: Bytes whose words are hashed at once; a longer word stands alone.
+BLOCK_BYTES = 1 << 21
 #: Bytes that may be broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Has Spark delete the shuffles of a query when it has ended.
@@ -59,6 +60,20 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about `limit` bytes made of smaller ones; a larger one stays as it is."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.nbytes > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string or binary column, and the offsets of its rows."""
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -67,35 +82,73 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, filled as words come, emptied when full."""
+def lower_ascii(data: bytes) -> bytes:
+    return data.lower()  # bytes.lower() changes A-Z only
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+def _is_white(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
 
-_hashes = WordHashes()
 
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number, and of its inverse, modulo 2**64."""
+    base = 0x9E3779B97F4A7C15
+    return tuple(np.multiply.accumulate(np.full(n, np.uint64(x))) for x in (base, pow(base, -1, 1 << 64)))
 
-def lower_ascii(data: bytes) -> bytes:
-    return data.lower()  # bytes.lower() changes A-Z only
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(max(BLOCK_BYTES, 1 << max(n - 1, 1).bit_length()))
 
-def hashed_words(texts_: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the words of all texts in a row, and where each text begins among them."""
-    words: list[bytes] = []
-    starts = np.zeros(len(texts_) + 1, np.int64)
-    for k, t in enumerate(texts_):
-        words += (t.lower() if lower else t).split()
-        starts[k + 1] = len(words)
-    return word_hashes(words), starts
 
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, 64-bit hash) of the words of texts that lie in a row, each from one offset to the next.
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    A word's hash is the polynomial of its bytes, taken from one running sum over all of them.
+    """
+    if len(data) > BLOCK_BYTES:  # in blocks that end between texts or at white space
+        parts, at = [], 0
+        while at < len(data):
+            stop = min(at + BLOCK_BYTES, len(data))
+            if stop < len(data):
+                text = int(offsets[np.searchsorted(offsets, stop, side="right") - 1])
+                white = np.flatnonzero(_is_white(data[at:stop]))
+                stop = max(text, at + int(white[-1]) + 1 if len(white) else at)
+                if stop <= at:  # one word fills the block
+                    after = np.flatnonzero(_is_white(data[at + BLOCK_BYTES :]))
+                    stop = at + BLOCK_BYTES + int(after[0]) + 1 if len(after) else len(data)
+                    stop = min(stop, int(offsets[np.searchsorted(offsets, at, side="right")]))
+            inner = offsets[(offsets > at) & (offsets < stop)] - at
+            begin, end, h = _word_spans(data[at:stop], np.concatenate([[0], inner, [stop - at]]))
+            parts.append((begin + at, end + at, h))
+            at = stop
+        return tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
+    return _word_spans(data, offsets)
+
+
+def _word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    inside = ~_is_white(data)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    at = offsets[:-1][offsets[:-1] < len(data)]
+    first[at] = inside[at]
+    at = offsets[1:][offsets[1:] > 0] - 1
+    last[at] = inside[at]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    power, inverse = powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    return begin, end, mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * _ROT)
+
+
+def hashed_words(texts_: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of all texts in a row, and where each text begins among them."""
+    whole = b"".join(texts_)
+    offsets = np.zeros(len(texts_) + 1, np.int64)
+    np.cumsum([len(t) for t in texts_], out=offsets[1:])
+    begin, _, hashes = word_spans(np.frombuffer(whole.lower() if lower else whole, np.uint8), offsets)
+    return hashes, np.searchsorted(begin, offsets)
 
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -148,6 +201,11 @@ def window_min(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each first on, as many as counted, in a row."""
+    return np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
 def i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else np.asarray(x, np.int64))
 
@@ -156,6 +214,48 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _numpy(column: pa.Array) -> np.ndarray:
+    """The values; of a binary column, whose values are all equally long, a row of 64-bit numbers each."""
+    if not pa.types.is_binary(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    data, _ = raw_bytes(column)
+    return data.view(np.uint64).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.uint64)
+
+
+def groups(batches: Iterator[pa.RecordBatch], columns: int, at_once: int = 0) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Whole groups of rows with one key, the first column, many at a time; of a group of over at_once rows (if that isn't 0) parts, marked so."""
+    held: list[list[np.ndarray]] = []
+    waiting, enough, parted = 0, 100_000, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append([_numpy(b.column(k)) for k in range(columns)])
+        waiting += b.num_rows
+        if waiting < enough:
+            continue
+        rows = [np.concatenate(c) for c in zip(*held)]
+        end = int(np.searchsorted(rows[0], rows[0][-1]))
+        if parted is not None and end and rows[0][0] == parted:
+            first = int(np.searchsorted(rows[0], parted, side="right"))
+            yield [r[:first] for r in rows], True
+            rows, end, parted = [r[first:] for r in rows], end - first, None
+        if end:
+            yield [r[:end] for r in rows], False
+            rows = [r[end:] for r in rows]
+        if at_once and len(rows[0]) > at_once:
+            yield rows, True
+            parted, rows = rows[0][-1], [r[:0] for r in rows]
+        held, waiting = [rows], len(rows[0])
+        enough = 100_000 + 2 * waiting
+    rows = [np.concatenate(c) for c in zip(*held)] if held else []
+    if rows and len(rows[0]):
+        first = int(np.searchsorted(rows[0], parted, side="right")) if parted is not None and rows[0][0] == parted else 0
+        if first:
+            yield [r[:first] for r in rows], True
+        if first < len(rows[0]):
+            yield [r[first:] for r in rows], False
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session, and only where it is unset a local one."""
     context = spark.sparkContext
@@ -234,7 +334,7 @@ def shuffles(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", node: str = "node") -> DataFrame:
     """(node, component): the least node that links reach, for every node of an edge; a table of cut().
 
     Alternating large-star and small-star steps over the edge table; each round is a
@@ -255,7 +355,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         if now == before:
             break
         before = now
-    stars = links.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    out = cut(stars.union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component")))
+    stars = links.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias(node), "component")
+    out = cut(stars.union(links.select(F.col("v").alias(node), F.col("v").alias("component")).distinct()).groupBy(node).agg(F.min("component").alias("component")))
     discard(links)
     return out

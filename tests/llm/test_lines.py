@@ -5,10 +5,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from tessera.llm import line_dedup
+from tessera.llm import common, line_dedup
 
 from .test_corpus import empty, odd, odd_rows  # noqa: F401
 
@@ -28,13 +29,14 @@ def most_edits(n, per):
     return n // per if n >= per else int(n >= 5)
 
 
-def by_hand(rows, per=10):
-    """(id, removed lines, near lines, hash of the kept text) of each row."""
+def place(i, t):
+    """A row is its id and text; a null id is last, texts of one id go by their hash."""
+    h = xxhash.xxh64_intdigest(t.encode(), 42)
+    return (i is None, 0 if i is None else i, h - (1 << 64) if h >> 63 else h)
 
-    def place(i, t):  # a row is its id and text; a null id is last, texts of one id go by their hash
-        h = xxhash.xxh64_intdigest(t.encode(), 42)
-        return (i is None, 0 if i is None else i, h - (1 << 64) if h >> 63 else h)
 
+def by_hand(rows, per=10):
+    """(id, removed lines, near lines, hash of the kept text) of each row."""
     first = {}
     for i, t in sorted({(i, t or "") for i, t in rows}, key=lambda r: place(*r)):
         for k, line in enumerate(t.split("\n")):
@@ -121,12 +123,30 @@ def test_a_pair_within_any_bound_shares_a_variant():
                 for e in range(k):  # only substitutions and deletions, so that x stays the longer
                     at = (e + 1) * len(y) // (k + 1) if trial % 2 else rng.randrange(len(y))
                     y[at : at + 1] = [] if trial % 3 == 0 else [b"new%d" % e]
-                token, line, form = line_dedup.Lines([x, y]).variants(per)
+                both = line_dedup.Lines.of(pa.array([b" ".join(x).decode(), b" ".join(y).decode()]))
+                token, line, form = both.variants(per)
                 shared = set(token[line == 0].tolist()) & set(token[line == 1].tolist())
                 assert shared, (per, n, trial)
-                keys = np.array([11, 22])[line]
-                order = np.argsort(token.view(np.int64), kind="stable")
-                assert set(line_dedup._alive(token.view(np.int64)[order], keys[order], form[order], per).tolist()) == {11, 22}
+                found = line_dedup._alive(token, np.array([11, 22], np.uint64)[line], form, per)
+                assert set(found[1].tolist()) == {11, 22}
+                bucket = line_dedup.Bucket(per)
+                some = list(bucket.add(token.tobytes() + line.astype(np.uint64).tobytes() + form.tobytes())) + list(bucket.end())
+                assert set(np.concatenate([f[1] for f in some]).tolist()) == {0, 1}
+
+
+def test_a_full_bucket_lets_pass(monkeypatch):
+    rng = np.random.default_rng(2)
+    token, key = np.sort(rng.integers(0, 3000, 4000)).astype(np.uint64), np.arange(4000, dtype=np.uint64)
+    form = np.full(4000, 30 << 16, np.uint32)
+    whole = set(line_dedup._alive(token, key, form, 10)[1].tolist())
+    monkeypatch.setattr(line_dedup, "HELD", 500)
+    bucket, got = line_dedup.Bucket(10), []
+    order = rng.permutation(4000)
+    for k in range(0, 4000, 100):
+        some = order[k : k + 100]
+        got += [k for f in bucket.add(token[some].tobytes() + key[some].tobytes() + form[some].tobytes()) for k in f[1].tolist()]
+    got += [k for f in bucket.end() for k in f[1].tolist()]
+    assert set(got) >= whole and len(set(got)) < 4000
 
 
 def test_many_near_copies_and_a_hot_variant(spark):
@@ -141,14 +161,12 @@ def test_many_near_copies_and_a_hot_variant(spark):
 
 
 def test_groups_of_rows_come_whole():
-    import pyarrow as pa
-
     rng = np.random.default_rng(1)
     token = np.sort(np.concatenate([rng.integers(0, 40_000, 400_000), np.full(300_000, 777), np.full(10, 40_001)]))
     for at_once in (0, 120_000):
         schema = pa.schema([("token", pa.int64()), ("v", pa.int64())])
         batches = (pa.RecordBatch.from_arrays([pa.array(token[k : k + 10_000]), pa.array(np.arange(len(token))[k : k + 10_000])], schema=schema) for k in range(0, len(token), 10_000))
-        parts = list(line_dedup._groups(batches, 2, at_once))
+        parts = list(common.groups(batches, 2, at_once))
         assert (np.concatenate([g[1] for g, _ in parts]) == np.arange(len(token))).all()
         whole = [set(np.unique(g[0])) for g, part in parts if not part]
         assert sum(map(len, whole)) == len(set().union(*whole))
@@ -164,6 +182,18 @@ def test_distance():
         assert line_dedup.distance(list(x), list(y)) == edit_distance(x, y)
 
 
+def test_pairs_within_the_bound():
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(1500):
+        x = [f"w{rng.randrange(rng.choice([3, 50]))}" for _ in range(rng.choice([1, 4, 5, 9, 10, 19, 20, 33, 70, 140, 260]))]
+        pairs.append((x, edited(rng, x, rng.randrange(0, len(x) // 8 + 2)) or ["z"]))
+    pairs += [(["a"] * 700, ["a"] * 770), (["a"] * 700, ["b"] * 10 + ["a"] * 700), (["a", "b"] * 400, ["b", "a"] * 400)]
+    x, y = (line_dedup.Lines.of(pa.array([" ".join(p[k]) for p in pairs])) for k in (0, 1))
+    want = [edit_distance(a, b) <= most_edits(max(len(a), len(b)), 10) for a, b in pairs]
+    assert line_dedup.near_pairs(x, y, 10).tolist() == want and 300 < sum(want) < 1400
+
+
 def test_odd(spark, odd, empty):  # noqa: F811
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert got(odd) == by_hand(rows) and len(rows) == len(odd_rows()) + 1
