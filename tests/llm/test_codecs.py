@@ -280,10 +280,73 @@ def test_pages_of_the_tables(spark):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def site(k, body):
+    """A page without an article element and without telling names; menu and footer change from page to page."""
+    menu = "".join(f"<li><a href='/{k}{j}'>menu {k} {j}</a></li>" for j in range(3))
+    return f"<html><body><div class=q1><ul>{menu}</ul></div><div class=q2>{body}</div><div class=q3>page {k} of many</div></body></html>"
+
+
+def sites():
+    pages = {}
+    for k in range(40):
+        paragraphs = "".join(f"<p>Paragraph {j} of page {k} tells of {k * 31 + j} things.</p>" for j in range(2 + k % 4))
+        notice = "<div class=q9><p>Members read this first</p><p>Join us</p></div>" if k % 2 else ""
+        often = "<p>Said on some pages only</p>" if k % 3 == 0 else ""
+        pages[k] = site(k, f"<h2>Title {k}</h2>{notice}{paragraphs}{often}<p>Read more here</p>")
+    want = {k: "\n".join([f"Title {k}", *(f"Paragraph {j} of page {k} tells of {k * 31 + j} things." for j in range(2 + k % 4)), *(["Said on some pages only"] if k % 3 == 0 else [])]) for k in pages}
+    return pages, want
+
+
+def test_slots_of_the_template_are_the_text(spark, monkeypatch):
+    """The container by its slots, texts of the root and of a nested class out, also where they are one paragraph among others."""
+    pages, want = sites()
+    df = spark.createDataFrame([(k, f"http://h/{k}", h) for k, h in pages.items()] + [(100 + k, f"http://h/{k}", pages[k]) for k in range(3)], "page_id long, url string, html string")
+    found = {}
+    for parts in (1, 4, 211):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            found[parts] = {r.page_id: r.text for r in html_template.main_text(df.repartition(parts)).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found[1] == found[4] == found[211] == want | {100 + k: want[k] for k in range(3)}
+    assert html_template.extract(list(pages.values())) == list(want.values())
+    monkeypatch.setattr(html_template, "template", lambda tokens: (None, []))
+    assert all(a != b for a, b in zip(html_template.extract(list(pages.values())), want.values()))
+
+
+def test_few_pages_have_no_template(spark):
+    pages, _ = sites()
+    some = [pages[k] for k in range(5)] * 4  # repeated pages are one
+    assert all("Read more here" in t and "menu" in t for t in html_template.extract(some))
+    df = spark.createDataFrame([(k, "http://h/", h) for k, h in enumerate(some)], "page_id long, url string, html string")
+    assert [r.text for r in html_template.main_text(df).orderBy("page_id").collect()] == html_template.extract(some)
+
+
+def test_classes_by_hand():
+    """Fingerprints against occurrence vectors, and the container against sums over the pages."""
+    pages, _ = sites()
+    vectors = {}
+    for k, h in pages.items():
+        for token, (times, _) in html_template.Page(h).counted().items():
+            vectors.setdefault(token, [0] * len(pages))[k] = times
+    ones = {t for t, v in vectors.items() if v == [1] * len(pages)}
+    assert {p for text, p, _ in ones if not text} >= {"", "html>body>div.q1", "html>body>div.q2>h2"} and "html>body>div.q2>p" not in {p for text, p, _ in ones if not text}
+    assert sum(text for text, *_ in ones) == 1
+    tokens = [(*t, 0 if t in ones else 1 + hash(tuple(v)) % 10**9, sum(html_template.Page(h).counted().get(t, [0, 0])[1] for h in pages.values()), sum(v)) for t, v in vectors.items() if sum(map(bool, v)) >= html_template.SUPPORT]
+    container, texts = html_template.template(tokens)
+    assert container == "html>body>div.q2" and len(texts) == 3
+
+
 def test_template_words_and_roles():
     page = '<html><body><header><h1>Site</h1></header><div id="content"><h2>Title {k}</h2><p>Body &amp; words number {k} {k}.</p><p>Read more here</p><div class="comments"><p>troll {k}</p></div></div><aside>side</aside><form>q</form><footer>f</footer></body></html>'
-    got = html_template.extract([page.replace("{k}", str(k)) for k in range(12)])
-    assert got[3].startswith("Title 3\nBody & words number 3 3.") and not any(x in got[3] for x in ("troll", "Site", "side", "q\n"))
+    got = html_template.extract([page.replace("{k}", str(k)) for k in range(40)])
+    assert got[3] == "Title 3\nBody & words number 3 3."
+
+
+def test_names_inside_an_article():
+    page = "<article><h1>T {k}</h1><section id='social-effects'><p>On social effects {k}</p></section><div class='search-results x'><p>Found {k}</p></div><div class='x comments'>troll {k}</div><nav>n</nav></article>"
+    got = html_template.extract([page.replace("{k}", str(k)) for k in range(3)])
+    assert got[1] == "T 1\nOn social effects 1\nFound 1"
 
 
 def test_odd_pages(spark):
