@@ -5,17 +5,19 @@
    run of the corpus has can't belong to a repeated window, so those runs are done. Keys
    are counted with partial sums and joined back; nothing is dropped but certain misses.
 2. Shards. The words of each remaining run go to the shard of its key, so that all copies
-   of a window meet. A key with very many runs is dealt over several shards. A shard has a
-   bounded number of runs.
-3. Index. A shard's texts become one text over word-block symbols (two blocks cover a
+   of a window meet. The runs of a key with very many are dealt over several shards by row and
+   place. A shard has a bounded number of runs.
+3. Index. A shard's texts become one text over word-block symbols (BLOCKS of them, a step apart, cover a
    window), its Burrows-Wheeler transform a wavelet matrix of bit vectors with rank counts:
-   a compressed FM-index. Backward search looks up the index's own windows, in lockstep, each
-   as two block symbols; no matching statistics are computed and no other text is streamed.
-   The start of a window's suffix interval is its name: windows with one name are equal, and
-   the earliest place of a name is the first occurrence.
-4. For keys dealt over several shards the first of each shard's intervals are compared by a
+   a compressed FM-index.
+4. Matching statistics. The runs are streamed against the index: backward search from a window's last block
+   to its first, in lockstep over all windows, goes on as long as the suffix interval holds
+   two places or more. The words matched so are the window's statistic; where it reaches
+   the window's length the interval is reported. Its start names the window's words, and the
+   earliest place of a name is the first occurrence.
+5. For keys dealt over several shards the first of each shard's windows are compared by a
    128-bit hash of the window's words.
-5. Words that a repeated later window covers are removed; the kept words are hashed.
+6. Words that a repeated later window covers are removed; the kept words are hashed.
 
 Order is (doc_id, start); a null id comes last. Texts with fewer words than a window, null and
 empty texts lose nothing. Rows with one id and text are one document twice and don't count
@@ -45,7 +47,11 @@ RUN = 96
 SHARD_RUNS = 20_000
 KEY_RUNS = 5_000
 LAST = (1 << 63) - 1
-_WORD_BYTES = 5
+#: Words of one document among which the runs of a hot key stay together.
+NEAR_WORDS = 1 << 12
+#: Blocks that cover a window.
+BLOCKS = 4
+_WORD_BYTES = 8
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -93,63 +99,81 @@ class WaveletMatrix:
 class FMIndex:
     """Over texts of word hashes, for patterns of `window` words.
 
-    A symbol is a block of words; two blocks, `step` words apart, cover a window. Suffixes
+    A symbol is a block of words; BLOCKS of them, `step` words apart, cover a window. Suffixes
     are sorted by as many blocks as a pattern has, which is all that backward search of
     such patterns needs.
     """
 
     def __init__(self, words: np.ndarray, starts: np.ndarray, window: int = WINDOW):
-        self.window, self.block = window, -(-window // 2)
-        self.step = window - self.block
-        n = len(words)
+        self.window, self.blocks = window, min(BLOCKS, window)
+        self.step = window // self.blocks
+        self.block = window - (self.blocks - 1) * self.step
+        n, reach = len(words), (self.blocks - 1) * self.step
         owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         g = common.grams(words, self.block)
         inside = np.flatnonzero(owner[: len(g)] == owner[self.block - 1 :]) if len(g) else np.zeros(0, np.int64)
-        self.names, symbol = np.unique(g[inside], return_inverse=True)
-        size = len(self.names) + 1  # 0 stands for the end of a text
-        self.symbols = np.zeros(n + self.step, np.int64)
+        names, symbol = np.unique(g[inside], return_inverse=True)
+        size = len(names) + 1  # 0 stands for the end of a text
+        self.symbols = np.zeros(n + reach, np.int64)
         self.symbols[inside] = symbol + 1
         end = starts[1:][owner[inside]] if len(inside) else inside
-        follow = np.where(inside + window <= end, self.symbols[inside + self.step], 0)
-        order = np.argsort(self.symbols[inside] * size + follow, kind="stable")
-        self.suffixes = inside[order]
+        order = np.zeros(len(inside), np.int64)
+        for k in range(self.blocks - 1, -1, -1):
+            here = np.where(inside + k * self.step + self.block <= end, self.symbols[inside + k * self.step], 0)
+            order = here * (len(inside) + 1) + order
+            if k:
+                order = np.unique(order, return_inverse=True)[1]
+        self.suffixes = inside[np.argsort(order, kind="stable")]
         begin = starts[:-1][owner[self.suffixes]] if len(inside) else inside
         back = self.suffixes - self.step
         bwt = np.where(back >= begin, self.symbols[np.maximum(back, 0)], 0)
         self.below = np.searchsorted(self.symbols[self.suffixes], np.arange(size + 1))
+        # suffixes with a symbol that nothing follows come first of that symbol's, and no suffix has it before it
+        last = inside + self.step + self.block > end
+        self.first = self.below[:-1] + np.bincount(self.symbols[inside[last]], minlength=size)
         self.wavelet = WaveletMatrix(bwt, size)
         #: Where windows begin.
         self.windows = inside[inside + window <= end] if len(inside) else inside
 
-    def intervals(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix intervals of the windows that begin at these positions, by backward search."""
-        last, head = self.symbols[at + self.step], self.symbols[at]
-        lo, hi = self.below[last], self.below[last + 1]
-        return self.below[head] + self.wavelet.rank(head, lo), self.below[head] + self.wavelet.rank(head, hi)
+    def statistics(self, at: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words, lo, hi) for the windows that begin at these positions: how many of their last words, by whole blocks, occur
+        at `least` places or more, and the suffix interval of these words."""
+        words, lo, hi = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        live = np.arange(len(at))
+        a, b = np.zeros(len(at), np.int64), np.full(len(at), len(self.suffixes))
+        for k in range(self.blocks - 1, -1, -1):
+            symbol = self.symbols[at[live] + k * self.step]
+            if k == self.blocks - 1:
+                a, b = self.below[symbol], self.below[symbol + 1]
+            else:
+                a, b = self.first[symbol] + self.wavelet.rank(symbol, a), self.first[symbol] + self.wavelet.rank(symbol, b)
+            wide = b - a >= least
+            live, a, b = live[wide], a[wide], b[wide]
+            words[live], lo[live], hi[live] = self.window - k * self.step, a, b
+        return words, lo, hi
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return common.texts(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
-
-
-def _tag(raw: bytes) -> int:
-    """24 bits of the text, to tell rows with one id apart."""
-    return xxhash.xxh3_64_intdigest(raw) & 0xFFFFFF
+    """(doc_id, hash, text): with its text's hash an id is the identity of a row."""
+    return common.texts(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
 
 
 def runs(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, doc_id, place): the runs of windows of each text; place packs start, whether the run repeats itself, windows and tag."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+    """(key, doc_id, hash, place): the runs of windows of each text; place packs start, whether the run repeats itself, and windows."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("place", pa.int64())])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        raws = b.column(1).cast(pa.binary()).to_pylist()
+        raws = b.column(2).cast(pa.binary()).to_pylist()
         words, starts = common.hashed_words(raws)
         n = len(words) - window + 1
         if n <= 0:
-            return common.batch(schema, [], [], [])
+            return common.batch(schema, [], [], [], [])
         key = common.window_min(common.grams(words, KEY_WORDS), window - KEY_WORDS + 1)
         owner = np.repeat(np.arange(len(raws)), np.diff(starts))
         at = np.flatnonzero(owner[:n] == owner[window - 1 :])
+        if not len(at):
+            return common.batch(schema, [], [], [], [])
+        whole = common.grams(words, window)[at]
         key, of, at = key[at], owner[at], at - starts[owner[at]]
         new = np.ones(len(at), bool)
         new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
@@ -158,106 +182,103 @@ def runs(df: DataFrame, window: int = WINDOW) -> DataFrame:
         first = np.flatnonzero(new | (long % RUN == 0))
         count = np.diff(np.append(first, len(at)))
         # a run of one key may repeat a window itself: a text with a short period
-        whole = common.grams(words, window)[np.flatnonzero(owner[:n] == owner[window - 1 :])]
         run_of = np.cumsum(new)
         twice = np.zeros(len(at) + 1, np.int64)
         for d in range(1, min(window, len(at))):
             twice[:-1][:-d] |= (whole[d:] == whole[:-d]) & (run_of[d:] == run_of[:-d])
         own = (np.add.reduceat(twice[:-1], first) > 0) | (count > window - KEY_WORDS + 1) | (np.diff(np.append(first, len(at))) == RUN)
-        tags = np.array([_tag(r) for r in raws], np.int64)
-        docs = b.column(0).to_numpy()
-        return common.batch(schema, common.i64(key[first]), pa.array(docs[of[first]]), pa.array(at[first] << 32 | own.astype(np.int64) << 31 | count << 24 | tags[of[first]]))
+        row = pa.array(of[first])
+        return common.batch(schema, common.i64(key[first]), b.column(0).take(row), b.column(1).take(row), pa.array(at[first] << 32 | own.astype(np.int64) << 31 | count << 24))
 
-    return common.arrow_map(df, run, "key long, doc_id long, place long")
+    return common.arrow_map(df, run, "key long, doc_id long, hash long, place long")
 
 
 def repeated_runs(found: DataFrame) -> DataFrame:
-    """(doc_id, key, place, split): runs whose key another run has or that repeat themselves; split: over how many shards the key is dealt."""
+    """(doc_id, hash, key, place, split): runs whose key another run has or that repeat themselves; split: over how many shards the key is dealt."""
     own = F.shiftright("place", 31).bitwiseAND(F.lit(1)) == 1
     counts = found.groupBy("key").agg(F.count("*").alias("n"), F.max(own).alias("own")).where("n > 1 or own").select(F.col("key"), F.ceil(F.col("n") / KEY_RUNS).cast("int").alias("split"))
-    return found.join(counts.hint("merge"), "key").select("doc_id", "key", "place", "split")
+    return found.join(counts.hint("merge"), "key").select("doc_id", "hash", "key", "place", "split")
 
 
 def run_texts(docs: DataFrame, repeated: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
-    """(shard, hot, doc_id, start, tag, words): the words of each run, as _WORD_BYTES of a hash each."""
-    schema = pa.schema([("shard", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("start", pa.int32()), ("tag", pa.int32()), ("words", pa.binary())])
-    by_doc = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "split")).alias("found"))
+    """(shard, hot, doc_id, hash, start, words): the word hashes of each run."""
+    schema = pa.schema([("shard", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+    by_doc = repeated.groupBy("doc_id", "hash").agg(F.collect_list("key").alias("keys"), F.collect_list(F.struct("place", "split")).alias("places"))
+    joined = docs.join(by_doc.hint("merge"), ["doc_id", "hash"]).groupBy("doc_id", "hash").agg(*[F.first(c).alias(c) for c in ("text", "keys", "places")])  # repeated rows once
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in common.slices(whole, "text"):
-                out = []
-                for doc, text, found in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-                    tag = _tag(text)
-                    words, _ = common.hashed_words([text])
-                    packed = np.ascontiguousarray(words.view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES]).tobytes()
-                    for f in found:
-                        place, split = f["place"], f["split"]
-                        if place & 0xFFFFFF != tag:
-                            continue
-                        start, n = place >> 32, place >> 24 & 0x7F
-                        part = xxhash.xxh3_64_intdigest(doc.to_bytes(8, "little", signed=True)) % split
-                        shard = xxhash.xxh3_64_intdigest(f["key"].to_bytes(8, "little", signed=True) + part.to_bytes(4, "little")) % shards
-                        out.append((shard, split > 1, doc, start, tag, packed[start * _WORD_BYTES : (start + n + window - 1) * _WORD_BYTES]))
-                yield common.batch(schema, *(map(list, zip(*out)) if out else [[]] * 6))
-
-    joined = docs.join(by_doc.hint("merge"), "doc_id").select("doc_id", "text", "found")
-    return joined.mapInArrow(run, "shard long, hot boolean, doc_id long, start int, tag int, words binary")
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        docs_, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
+        words, begin = common.hashed_words(b.column(2).cast(pa.binary()).to_pylist())
+        found = b.column(4)
+        row = np.repeat(np.arange(b.num_rows), np.diff(found.offsets.to_numpy()))
+        key, (place, split) = b.column(3).flatten().to_numpy(), (found.flatten().field(k).to_numpy().astype(np.int64) for k in range(2))
+        start, n = place >> 32, place >> 24 & 0x7F
+        mixed = common.join2(common.mix(docs_[row].view(np.uint64)) ^ hashes[row].view(np.uint64), (start // NEAR_WORDS).astype(np.uint64), 3)
+        part = (mixed >> np.uint64(1)).astype(np.int64) % split
+        shard = (common.join2(key.view(np.uint64), part.astype(np.uint64), 4) >> np.uint64(1)).astype(np.int64) % shards
+        raw = words.tobytes()
+        at = (begin[row] + start) * _WORD_BYTES
+        texts = [raw[i:j] for i, j in zip(at.tolist(), (at + (n + window - 1) * _WORD_BYTES).tolist())]
+        return common.batch(schema, shard, split > 1, docs_[row], hashes[row], start.astype(np.int32), texts)
+
+    return common.arrow_map(joined, run, "shard long, hot boolean, doc_id long, hash long, start int, words binary")
 
 
 def shard_repeats(rows: list[tuple], window: int = WINDOW) -> list[tuple]:
-    """Of one shard's rows (hot, doc_id, start, tag, words): (doc_id, tag, start, windows, hash or None).
+    """Of one shard's rows (hot, doc_id, hash, start, words): (doc_id, hash, start, windows, key or None).
 
-    With a hash: the shard's first of that window, which other shards may have earlier.
+    With a key, of 128 bits of its words: the shard's first of that window, which other shards may have earlier.
     """
     same: dict[bytes, int] = {}
-    which = [same.setdefault(r[4], len(same)) for r in rows]
-    raw = np.frombuffer(b"".join(same), np.uint8).reshape(-1, _WORD_BYTES)
-    words = np.zeros((len(raw), 8), np.uint8)
-    words[:, :_WORD_BYTES] = raw
-    words = words.view("<u8").ravel()
+    which = np.array([same.setdefault(r[4], len(same)) for r in rows])
+    words = np.frombuffer(b"".join(same), "<u8").astype(np.uint64)
     sizes = np.array([len(t) // _WORD_BYTES for t in same], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
+    copies = np.bincount(which)
     index = FMIndex(words, starts, window)
-    # each row's windows, streamed against the index; rows of equal words share their text
-    which_, counts = np.array(which), sizes[which] - window + 1
+    # rows of equal words share their text, which then counts as often
+    matched, lo, _ = index.statistics(index.windows)
+    name = np.full(len(words) + 1, -1, np.int64)
+    name[index.windows] = np.where(matched >= window, lo, -1)
+    alone = np.flatnonzero((matched < window) & (copies[np.searchsorted(starts, index.windows, side="right") - 1] > 1))
+    name[index.windows[alone]] = len(index.suffixes) + np.arange(len(alone))
+    counts = sizes[which] - window + 1
     row = np.repeat(np.arange(len(rows)), counts)
-    offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    doc, first = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-    at = starts[which_[row]] + offset
-    lo = np.full(len(words), -1, np.int64)
-    lo[index.windows], hi = index.intervals(index.windows)
-    interval = lo[at]
+    offset = common.ragged(np.zeros(len(rows), np.int64), counts)
+    doc, first = np.array([r[1] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
+    interval = name[starts[which[row]] + offset]
     place_doc, place_start = doc[row], first[row] + offset
     order = np.lexsort((place_start, place_doc))
     fresh = np.ones(len(order), bool)
     fresh[1:] = (place_doc[order][1:] != place_doc[order][:-1]) | (place_start[order][1:] != place_start[order][:-1])
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(fresh)
-    best = np.full(int(interval.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(best, interval, rank)
-    later = rank > best[interval]
+    repeated = interval >= 0
+    best = np.full(len(index.suffixes) + len(alone), np.iinfo(np.int64).max)
+    np.minimum.at(best, interval[repeated], rank[repeated])
+    later = np.zeros(len(row), bool)
+    later[repeated] = rank[repeated] > best[interval[repeated]]
     out = []
     edge = np.flatnonzero(later & np.concatenate([[True], ~(later[:-1] & (row[1:] == row[:-1]))]))
     stop = np.flatnonzero(later & np.concatenate([~(later[1:] & (row[1:] == row[:-1])), [True]]))
     for a, b in zip(edge.tolist(), stop.tolist()):
         r = rows[row[a]]
-        out.append((r[1], r[3], int(place_start[a]), b - a + 1, None))
+        out.append((r[1], r[2], int(place_start[a]), b - a + 1, None))
     hot = np.array([r[0] for r in rows])
     for k in np.flatnonzero(~later & hot[row]).tolist():
         r, o = rows[row[k]], int(offset[k])
-        out.append((r[1], r[3], int(place_start[k]), 1, xxhash.xxh3_128_digest(r[4][o * _WORD_BYTES : (o + window) * _WORD_BYTES])))
+        out.append((r[1], r[2], int(place_start[k]), 1, xxhash.xxh3_128_digest(r[4][o * _WORD_BYTES : (o + window) * _WORD_BYTES])))
     return out
 
 
 def repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, tag, start, windows): windows of (doc_id, text) rows that occur earlier."""
+    """(doc_id, hash, start, windows): windows of (doc_id, hash, text) rows that occur earlier; reads tables of cut()."""
     with common.stored(runs(df, window)) as found:
         repeated = common.cut(repeated_runs(found))
     shards = max(1, -(-repeated.count() // SHARD_RUNS))
     parts = max(common.shuffles(df), min(shards, 4 * common.shuffles(df)))
     laid = run_texts(df, repeated, shards, window).repartition(parts, "shard").sortWithinPartitions("shard")
-    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("windows", pa.int32()), ("same", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("same", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -277,11 +298,12 @@ def repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
         if held:
             yield done()
 
-    found = common.cut(laid.mapInArrow(run, "doc_id long, tag int, start int, windows int, same binary"))
+    found = common.cut(laid.mapInArrow(run, "doc_id long, hash long, start int, windows int, same binary"))
+    common.discard(repeated)
     hot = found.where("same is not null")
     first = hot.groupBy("same").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
-    later = hot.join(first, "same").where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "tag", "start", "windows")
-    return found.where("same is null").select("doc_id", "tag", "start", "windows").union(later)
+    later = hot.join(first, "same").where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "hash", "start", "windows")
+    return found.where("same is null").select("doc_id", "hash", "start", "windows").union(later)
 
 
 def _covered(n: int, places: list[tuple[int, int]], window: int) -> np.ndarray:
@@ -292,14 +314,14 @@ def _covered(n: int, places: list[tuple[int, int]], window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _with_places(df: DataFrame, window: int) -> DataFrame:
-    found = repeats(df, window).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "windows")).alias("found"))
-    return df.join(found.hint("merge"), "doc_id", "left").select("doc_id", "text", "found")
+def _places(rows: DataFrame, window: int) -> DataFrame:
+    """(doc_id, hash, found) of the rows that lose words."""
+    return repeats(rows, window).groupBy("doc_id", "hash").agg(F.collect_list(F.struct("start", "windows")).alias("found"))
 
 
 def dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row."""
-    docs = _rows(df, id_col, text_col)
+    rows = _rows(df, id_col, text_col)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -308,13 +330,13 @@ def dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col:
             words = text.split()
             n = len(words)
             if found:
-                tag = _tag(text)
-                gone = _covered(n, [(f["start"], f["windows"]) for f in found if f["tag"] == tag], window)
+                gone = _covered(n, [(f["start"], f["windows"]) for f in found], window)
                 words = [w for w, g in zip(words, gone.tolist()) if not g]
             out.append((None if doc == LAST else doc, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
         return common.batch(schema, *map(list, zip(*out)))
 
-    return common.arrow_map(_with_places(docs, window), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    met = rows.join(_places(rows, window).hint("merge"), ["doc_id", "hash"], "left").select("doc_id", "text", "found")
+    return common.arrow_map(met, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_text(raw: bytes, gone: np.ndarray) -> bytes:
@@ -329,10 +351,9 @@ def cut_text(raw: bytes, gone: np.ndarray) -> bytes:
 
 
 def keep_first(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with later windows taken out of their texts; documents left without a word go."""
-    docs = df.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    rows = docs.select(F.col("__key").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = repeats(rows, window).groupBy(F.col("doc_id").alias("__key")).agg(F.collect_list(F.struct("tag", "start", "windows")).alias("__found"))
+    """The documents with later windows taken out of their texts, all columns with them; documents left without a word go."""
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("hash"))
 
     def trim(text: pd.Series, found: pd.Series) -> pd.Series:
         out = []
@@ -341,12 +362,10 @@ def keep_first(df: DataFrame, window: int = WINDOW) -> DataFrame:
                 out.append(t)
                 continue
             raw = t.encode()
-            tag = _tag(raw)
-            gone = _covered(len(raw.split()), [(x["start"], x["windows"]) for x in f if x["tag"] == tag], window)
-            out.append(cut_text(raw, gone).decode())
-        return pd.Series(out)
+            out.append(cut_text(raw, _covered(len(raw.split()), [(x["start"], x["windows"]) for x in f], window)).decode())
+        return pd.Series(out, dtype=object)
 
     trimmed = F.pandas_udf(trim, "string")
-    out = docs.join(found.hint("merge"), "__key", "left").withColumn("__text", trimmed(F.col("text").cast("string"), F.col("__found")))
-    left = F.col("__found").isNull() | (F.trim(F.coalesce("__text", F.lit(""))) != "")
-    return out.where(left).select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in df.columns])
+    out = rows.join(_places(_rows(df, "doc_id", "text"), window).hint("merge"), ["doc_id", "hash"], "left").select("row", "found", trimmed(F.col("row.text").cast("string"), F.col("found")).alias("kept"))
+    left = F.col("found").isNull() | F.coalesce("kept", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return out.where(left).select(*[F.col("kept").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in df.columns])
