@@ -7,8 +7,6 @@ documents; rows that a stage rejects, and words or lines that it removes, don't
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +24,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near duplicates, that of the least id: five-word shingles, similarity of 0.8 or more."""
     return jaccard_join.keep_one(docs, size=5, percent=80)
 
 
@@ -48,17 +46,16 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL has no tokenizer, linear models or Karmarkar-Karp differencing; the tests hold the stages against brute force.
+#: SQL has no tokenizer, linear models or Karmarkar-Karp differencing; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to documents; what lies between two of them is a table in the shared folder."""
-    docs = common.read_table(spark, sf_dir, "documents")
-    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    """Applies all stages to documents; what lies between two of them is a Parquet table in the shared folder, which goes when the next is written."""
+    docs, last = common.read_table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, sf_dir))
+        if last is not None:
+            common.discard(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
