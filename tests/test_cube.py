@@ -304,8 +304,8 @@ def test_pictures(spark, tmp_path):
     assert visual.calculate_shape((None, 120), (40, 60)) == (80, 120) and visual.calculate_shape((60, None), (40, 60)) == (60, 90)
     visual.write_png(ramp.df.select("y", "x", *[F.lit(9).alias(c) for c in "rgb"]), 10, 10, str(tmp_path / "p.png"))
     assert (tmp_path / "p.png").read_bytes()[:4] == b"\x89PNG"
-    with pytest.raises(NotImplementedError):
-        visual.write_video()
+    with pytest.raises(ValueError):
+        visual.write_video(cube_of(spark, np.zeros((3, 3, 1)), ("y", "x", "t")), str(tmp_path / "v.avi"), limit=8)
 
 
 def test_apply_signatures(spark, noise):
