@@ -8,6 +8,6 @@ from .dataset import Dataset
 from .operators.vector import rasterize, read_geojson
 from .operators.visual import rgb as to_rgb
 from .operators.visual import write_video
-from .sources.rasters import auto_merge, open_dataset, to_netcdf
+from .sources.rasters import auto_merge, map_over_tiles, open_dataset, to_netcdf
 
-__all__ = ["Algorithm", "Alignment", "BoxcarFilter", "ConvolutionFilter", "Coregistration", "Cube", "Dataset", "GaussianFilter", "NLMeansFilter", "OmnibusTest", "Reprojection", "Resample", "algorithms", "auto_merge", "open_dataset", "rasterize", "read_geojson", "to_netcdf", "to_rgb", "write_video"]
+__all__ = ["Algorithm", "Alignment", "BoxcarFilter", "ConvolutionFilter", "Coregistration", "Cube", "Dataset", "GaussianFilter", "NLMeansFilter", "OmnibusTest", "Reprojection", "Resample", "algorithms", "auto_merge", "map_over_tiles", "open_dataset", "rasterize", "read_geojson", "to_netcdf", "to_rgb", "write_video"]

@@ -141,6 +141,33 @@ def test_tiles_as_they_lie(spark):
     assert sorted(tiles, key=lambda c: tiling.sort_key(c, ["y", "x"]))[0].coords == {"y": (9.0, -1.0), "x": (0.0, 1.0)}
 
 
+def test_merged_tiles(spark, tmp_path):
+    """Tiles with halos, as cubes and as saved tiles, give the whole again; attributes become variables."""
+    a = np.arange(9.0 * 8).reshape(9, 8)
+    whole = cube_of(spark, a, coords={"y": (20.0, -1.0), "x": (0.0, 0.5)}, attrs={"crs": 4326})
+    tiles = []
+    for k, (y0, y1) in enumerate(((0, 6), (4, 9))):
+        for j, (x0, x1) in enumerate(((0, 5), (3, 8))):
+            part = whole.isel(y=slice(y0, y1), x=slice(x0, x1))
+            edge = (F.col("y") == (y1 - y0 - 1 if k == 0 else 0)) | (F.col("x") == (x1 - x0 - 1 if j == 0 else 0))  # wrong where a filter would be
+            part = part.assign(v=F.when(edge, -1.0).otherwise(F.col("v")))
+            tiles.append(Cube(part.df, part.dims, part.variables, part.coords, {"crs": 4326, "orbit": "up" if k else "down", "pass": 1.0 * j}))
+    out = rasters.auto_merge(tiles, meta_variables=["orbit", "pass"])
+    assert out.dims == whole.dims and out.coords == whole.coords and out.attrs == {"crs": 4326, "legend": {"orbit": ["down", "up"]}}
+    rows = out.df.collect()
+    assert {(r.y, r.x): r.v for r in rows} == values(whole) and {(r.y > 4, r.orbit) for r in rows if r.y not in (4, 5)} == {(False, 0), (True, 1)}
+    for k, c in enumerate(tiles):
+        c.save(f"{tmp_path}/part.{k}")
+    merged = rasters.map_over_tiles(spark, f"{tmp_path}/part.*", lambda c, by: c.assign(v=F.col("v") * by), args=(2,), path=str(tmp_path / "out"), suffix=".x")
+    assert values(merged) == {k: 2 * v for k, v in values(whole).items()}
+    again = rasters.map_over_tiles(spark, f"{tmp_path}/part.*", lambda c: c, path=str(tmp_path / "out"), suffix=".x", merge=False)
+    assert [p.rsplit("/", 1)[1] for p in again] == [f"part.{k}.x_new" for k in range(4)]
+    stack = rasters.auto_merge([whole, whole])
+    assert stack.dims == {"y": 9, "x": 8, "t": 2}
+    with pytest.raises(ValueError):
+        rasters.auto_merge(f"{tmp_path}/nothing.*", spark=spark)
+
+
 def test_video(spark, tmp_path):
     a = np.arange(2 * 3 * 5, dtype=float).reshape(3, 5, 2)
     cube = cube_of(spark, a, ("y", "x", "t"))
