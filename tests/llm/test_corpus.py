@@ -108,8 +108,9 @@ def test_fm_odd(spark, odd, empty):
     got = collections.Counter(tuple(r) for r in fm_dedup.dedup(odd).collect() if r.doc_id is not None)
     assert got == windows_by_hand(rows)
     assert fm_dedup.dedup(empty).count() == 0
+    odd = odd.selectExpr("*", "'mine' as `__text`", "7 as hash", "'x' as found", "'r' as `row`")
     kept = fm_dedup.keep_first(odd)
-    assert kept.columns == odd.columns
+    assert kept.columns == odd.columns and all(r.hash == 7 and r["__text"] == "mine" for r in kept.collect())
     ids = [r.doc_id for r in kept.collect()]
     assert 2 in ids and 4 in ids and 5 in ids and 1 in ids and 3 not in ids
 
@@ -123,9 +124,36 @@ def test_fm_index_counts(texts, window):
     where = [int(s) + k for s, t in zip(starts, texts) for k in range(len(t) - window + 1)]
     assert sorted(index.windows.tolist()) == where
     if where:
-        lo, hi = index.intervals(np.array(where))
-        counts = collections.Counter(tuple(words[p : p + window].tolist()) for p in where)
-        assert [counts[tuple(words[p : p + window].tolist())] for p in where] == (hi - lo).tolist()
+        matched, lo, hi = index.statistics(np.array(where))
+        parts = [(p, k * index.step) for p in where for k in range(index.blocks)]
+        inside = [p for s, t in zip(starts, texts) for p in range(int(s), int(s) + len(t))]
+        ends = {p: int(s) + len(t) for s, t in zip(starts, texts) for p in range(int(s), int(s) + len(t))}
+
+        def places(p, skip):  # of the window's words without the first `skip`
+            words_ = words[p + skip : p + window].tolist()
+            return [q for q in inside if q + len(words_) <= ends[q] and words[q : q + len(words_)].tolist() == words_]
+
+        for p, m, a, b in zip(where, matched.tolist(), lo.tolist(), hi.tolist()):
+            best = max((window - skip for q, skip in parts if q == p and len(places(p, skip)) >= 2), default=0)
+            assert m == best and (not m or sorted(index.suffixes[a:b].tolist()) == places(p, window - m))
+
+
+def test_fm_identity_of_rows(spark):
+    """Null ids and ids of several texts; a window of one row is taken out of that row only."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(None, f"a{k} " + passage + f" z{k}") for k in range(6)] + [(5, passage), (5, "other " + passage), (5, "quite other words " * 3)]
+    got = fm_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in got if r.doc_id is None) == [30] * 6
+    assert sorted((r.n_words, r.n_removed) for r in got if r.doc_id == 5) == [(9, 0), (30, 0), (31, 30)]
+
+
+def test_fm_one_periodic_text(spark, monkeypatch):
+    monkeypatch.setattr(fm_dedup, "KEY_RUNS", 3)
+    monkeypatch.setattr(fm_dedup, "NEAR_WORDS", 256)
+    text = " ".join(f"w{k % 23}" for k in range(9_000))
+    rows = [(1, text), (2, "x " + " ".join(f"w{k % 23}" for k in range(40)))]
+    got = collections.Counter(tuple(r) for r in fm_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == windows_by_hand(rows)
 
 
 def test_wavelet_rank():
@@ -197,6 +225,45 @@ def test_join_near_copies(spark, monkeypatch):
     assert got == components_by_hand(rows)
 
 
+def test_join_of_many_apart(spark, monkeypatch):
+    """Sets that share most shingles but mostly don't link, in more rounds and parts than their number needs."""
+    monkeypatch.setattr(jaccard_join, "WIDTHS", (1, 2, 1 << 40))
+    monkeypatch.setattr(jaccard_join, "HELD", 7)
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(160)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join([*base[:90], *(f"u{rng.randrange(10**6)}" for _ in range(24))])) for i in range(40)]
+    rng.shuffle(rows)
+    got = collections.Counter(tuple(r) for r in jaccard_join.components_of(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == components_by_hand(rows) and 20 < len({c for _, _, c in got}) < 125
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    near = text.replace("w39", "x")
+    rows = [(5, near), (5, "a text of its own that stays as it is"), (1, text), (None, text), (None, text), (1, text), (7, ""), (7, ""), (8, None), (None, "another that stands alone in the table")]
+    df = spark.createDataFrame([(i, t, k, "mine") for k, (i, t) in enumerate(rows)], "doc_id long, text string, hash int, `__gone` string")
+    kept = jaccard_join.keep_one(df)
+    found = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    assert kept.columns == df.columns and found == {(1, text): 1, (5, rows[1][1]): 1, (7, ""): 2, (8, None): 1, (None, rows[-1][1]): 1}
+
+
+def test_sketches():
+    rng = np.random.default_rng(3)
+    a = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))
+    b = np.unique(np.concatenate([a[40:], rng.integers(0, 2**63, 30).astype(np.uint64)]))
+    x, y = (np.frombuffer(jaccard_join.sketch(s), np.uint64) for s in (a, b))
+    assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b)) and len(x) * 64 == jaccard_join.SKETCH
+    for n, m in ((10, 10), (100, 117), (147, 147)):
+        best = max(n + m - 2 * o for o in range(m + 1) if 100 * o >= 85 * (n + m - o))
+        assert jaccard_join.most_apart(np.array([n]), np.array([m]), 85)[0] == best
+
+
 def test_join_odd(spark, odd, empty):
     got = collections.Counter(tuple(r) for r in jaccard_join.components_of(odd).collect() if r.doc_id is not None)
     assert got == components_by_hand(odd_rows())
@@ -267,6 +334,47 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.p_toxic <= 1 and 0 <= r.p_severe <= 1 for r in rows)
 
 
+def test_chain_by_hand():
+    """Out-of-fold probabilities by plain loops, each fold's words and targets its own; and that links feed later ones."""
+    rng = np.random.default_rng(5)
+    n, folds = 300, toxicity.FOLDS
+    has = (rng.random((n, 12)) < 0.3).astype(float)
+    y = (has[:, 0] + has[:, 1] + rng.random(n) > 1.2).astype(float)
+    fold, sizes = rng.integers(0, folds, n), rng.integers(20, 400, n)
+    columns = [sorted(rng.choice(12, 6, replace=False).tolist()) for _ in range(folds)] + [list(range(12))]
+    counts = rng.integers(0, 6, (n, folds + 1))
+    weights, p = toxicity.chain_weights(has, columns, counts, sizes, y, fold)
+    want = np.zeros((n, 3))
+    for c in range(3):
+        for f in range(folds):
+            train = [i for i in range(n) if fold[i] != f]
+            target = [[y[i] * (counts[i, f] >= 3), y[i] * (counts[i, f] > 0) * (counts[i, f] >= 0.01 * sizes[i]), y[i]][c] for i in train]
+            x = [[*has[i, columns[f]], float(counts[i, f] > 0), float(counts[i, f] > 1), float(counts[i, f] > 0 and sizes[i] <= 200), *want[i, :c]] for i in range(n)]
+            w = toxicity.fit_logistic(np.array([x[i] for i in train]), np.array(target))
+            for i in set(range(n)) - set(train):
+                want[i, c] = 1 / (1 + math.exp(-(np.dot(x[i], w[:-1]) + w[-1])))
+    assert np.allclose(p, want, atol=1e-9)
+    assert [len(w) for w in weights] == [16, 17, 18] and abs(weights[2][15:17]).max() > 1e-3
+    other = y.copy()
+    other[fold == 2] = 1 - other[fold == 2]  # labels of a fold say nothing about that fold's own first link
+    assert np.allclose(toxicity.chain_weights(has, columns, counts, sizes, other, fold)[1][fold == 2, 0], p[fold == 2, 0])
+
+
+def test_words_are_chosen_without_the_fold(spark, monkeypatch):
+    """A word that only one fold's toxic rows have is in no model of the others' and none is fitted on it out of fold."""
+    texts = [(i, f"plain text number {i} of many" + (" nasty vile" if i % 2 else "")) for i in range(200)]
+    folds = {r.doc_id: r.fold for r in toxicity.sample(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")).collect()}
+    texts = [(i, t + (" onlyhere" if folds[i] == 1 and i % 2 else "")) for i, t in texts]
+    seen = {}
+    real = toxicity.chain_weights
+    monkeypatch.setattr(toxicity, "chain_weights", lambda has, columns, *rest: seen.update(has=has, columns=columns) or real(has, columns, *rest))
+    docs = spark.createDataFrame([*texts, (1, "a second text of one id")] * 2, "doc_id long, text string")
+    chain = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int"))
+    assert len(seen["has"]) == 200 and b"onlyhere" in chain.terms
+    column = next(k for k in range(seen["has"].shape[1]) if 0 < seen["has"][:, k].sum() < 40 and k in seen["columns"][-1])
+    assert column not in seen["columns"][1] and all(column in seen["columns"][f] for f in (0, 2, 3, 4))
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (7, None), (9, 0), (99, 1)], "doc_id long, toxic int")
     assert toxicity.toxicity(odd, labels).count() == odd.count()
