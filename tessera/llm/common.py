@@ -7,6 +7,7 @@ the input are ignored, and words are runs of bytes outside 0x20 and 0x09-0x0D.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,11 +24,27 @@ SLICE_BYTES = 2 << 20
 #: Entries after which a per-process word cache is emptied.
 CACHE_ENTRIES = 400_000
 #: Bytes whose words are hashed at once; a longer word stands alone.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
+#: Bytes from which a piece of memory goes back to the system as soon as it is free.
+RETURNED_BYTES = 4 << 20
 #: Bytes that may be broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Has Spark delete the shuffles of a query when it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bounds the bytes that go to Python at once; Spark's own bound lets ten thousand long texts pass.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def _return_memory() -> None:
+    """Python workers live on from stage to stage: what one has used must not stay with them."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with suppress(OSError, AttributeError):  # the C library's settings: from which size on, and how much may stay at the heap's end
+        library = ctypes.CDLL("libc.so.6")
+        library.mallopt(-3, RETURNED_BYTES)
+        library.mallopt(-1, 4 * RETURNED_BYTES)
+
+
+_return_memory()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -290,6 +307,12 @@ def _delete_left() -> None:
             _delete(spark, path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Results that are planned now run later, so the setting stays; one that the caller has made stays too."""
+    if spark.conf.get(_BATCH) in ("67108864", "67108864b"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read back from a compressed table in the shared folder: later steps don't run the earlier ones again.
 
@@ -301,6 +324,7 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
+    small_batches(spark)
     try:
         _left.add(path)
         df.write.option("compression", "zstd").parquet(path)

@@ -45,7 +45,7 @@ WIDTHS = (1, 16, 1 << 40)
 #: Buckets of variants for each shuffle partition, and variants of a bucket that a task holds before it lets shared ones pass.
 BUCKETS, HELD = 4, 1 << 23
 #: Pairs of lines that are looked at in one step, and bytes of text that are verified at once, about.
-BLOCK, VERIFIED_BYTES = 1 << 21, 16 << 20
+BLOCK, VERIFIED_BYTES = 1 << 19, 8 << 20
 #: Parities of a line's words that pairs are judged by before their texts are read, 256 at most, and before their edit distance is looked for.
 SKETCH, PARITIES = 256, 4096
 #: Edits up to which pairs are verified many at once, and cells of their tables that one step holds.

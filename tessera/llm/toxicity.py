@@ -63,6 +63,7 @@ def marks(found: list[bytes]) -> set[bytes]:
 
 
 def abusive_words(found: list[bytes], abusive: set[bytes]) -> int:
+    """How many of the words are abusive or begin as abusive ones do."""
     return sum(w in abusive or any(b"^" + w[:k] in abusive for k in STEMS if len(w) > k) for w in found)
 
 
@@ -189,13 +190,15 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Cha
         models = [chosen([(bytes(r["word"]), r["n1"], r["n0"]) for r in found if r["f"] == f], tuple(total.sum(axis=0) - (total[f] if f < FOLDS else 0))) for f in range(FOLDS + 1)]
         index = {t: k for k, t in enumerate(sorted(set().union(*(terms for terms, _ in models))))}
         lexicons = [abusive for _, abusive in models]
+        any_of = set().union(*lexicons)
         schema = pa.schema([("fold", pa.int64()), ("y", pa.int64()), ("n", pa.list_(pa.int64())), ("size", pa.int64()), ("has", pa.list_(pa.int64()))])
 
         def which(b: pa.RecordBatch) -> pa.RecordBatch:
             out = []
             for raw, y, fold in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("y").to_pylist(), b.column("fold").to_pylist()):
                 w = words(raw)
-                out.append((fold, y, [abusive_words(w, lexicon) for lexicon in lexicons], len(w), sorted(index[t] for t in index.keys() & marks(w))))
+                hits = [x for x in w if abusive_words([x], any_of)]
+                out.append((fold, y, [abusive_words(hits, lexicon) for lexicon in lexicons], len(w), sorted(index[t] for t in index.keys() & marks(w))))
             return common.batch(schema, *map(list, zip(*out)))
 
         got = common.arrow_map(rows, which, "fold long, y long, n array<long>, size long, has array<long>").toPandas()  # at most max_train rows of word numbers
