@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cube import Cube
-from ..functions.edges import fold_sql
+from ..dataset import Dataset
 from ..functions import projection
+from ..functions.edges import fold_sql
+from ..functions.general import parse_date
 from ..operators import apply, change, classify, nlmeans, reduce, stencil, tiling, vector, visual, warp
 from .cubes import EV, IMAGE, LI, NT, NX, NY, event_cube, image, lineitem_cube, r, rounded, rs, table
 
@@ -482,6 +484,29 @@ def rasterize_polygons(spark, sf):
     return cube.df
 
 
+@query(f"""WITH {_HITS}, days AS (SELECT DISTINCT CAST(id % 3 AS INTEGER) AS d FROM pt), ax AS (SELECT d, CAST(row_number() OVER (ORDER BY d) - 1 AS INTEGER) AS t FROM days),
+ top AS (SELECT y, x, id % 3 AS d, nk, row_number() OVER (PARTITION BY y, x, id % 3 ORDER BY id DESC) AS k FROM hit)
+ SELECT ax.t, g.y, g.x, CAST(coalesce(nk + 1, 0) AS INTEGER) AS integer FROM g CROSS JOIN ax LEFT JOIN (SELECT * FROM top WHERE k = 1) top ON g.y = top.y AND g.x = top.x AND top.d = ax.d""")
+def rasterize_dated(spark, sf):
+    day = F.date_add(F.lit("2018-01-01").cast("date"), (F.col("feature_id") % 3).cast("int")).cast("string")
+    cube, _ = vector.rasterize(_polygons(spark, sf).withColumn("day", day), _raster(spark), ["integer"], date_field="day")
+    return cube.df.select("t", "y", "x", "integer")
+
+
+@query("SELECT CAST(strptime(strftime(o_orderdate, '%Y%m%d'), '%Y%m%d') AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1")
+def parse_dates(spark, sf):
+    text = F.date_format("o_orderdate", "yyyyMMdd")
+    return table(spark, sf, "orders").select(parse_date(text).cast("date").alias("day")).groupBy("day").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LI}, img AS (SELECT y, x, avg(c11) AS c11 FROM li GROUP BY y, x), line AS (SELECT y, avg(c22) AS c22 FROM li GROUP BY y) SELECT img.y, img.x, {rs('c11')} AS c11, {rs('c22')} AS c22 FROM img JOIN line ON img.y = line.y")
+def routed_variables(spark, sf):
+    """The mean over time of the variables that have it; one that only has rows passes through, and is the same along a row."""
+    cube = lineitem_cube(spark, sf)
+    data = Dataset.of(cube.select("c11"), cube.select("c22").reduce("mean", "x", "t"))
+    return rounded(data.map(lambda c: c.reduce("mean", "t"), ["t"]).merged().df, "y", "x")
+
+
 @query(f"WITH {_PTS}, bb AS (SELECT id, min(px) AS l, max(px) AS r, min(py) AS b, max(py) AS t FROM pt GROUP BY id) SELECT id AS feature_id FROM bb WHERE r >= 0 AND l <= 200 AND t >= -1 AND b <= 200")
 def clip_all(spark, sf):
     return vector.clip(_polygons(spark, sf), 0, -1, 200, 200).select("feature_id")
