@@ -13,12 +13,14 @@
    that shares fewer prefix shingles than l of its smallest partner would be can't link.
    Both are sums by shingle and by group, without pairs. What is left expands to classes.
 4. Rounds. The classes with one shingle, of about one size, meet in an order that each round
-   deals anew; all rounds but the last take one shingle in SPARSE. A class is paired with the first WIDTHS[r] before it
-   that are not in its component and whose sizes, places of the shingle and sketches (SKETCH parities of the
-   shingles, of which no more can differ than shingles) allow a link. Pairs are verified by exact intersection of
+   deals anew; the first SPARSE_ROUNDS take one shingle in SPARSE, the others all that MANY classes have or more,
+   the last all. A class is paired with the first before it in each of WIDTHS[r] other components
+   whose sizes, places of the shingle and sketches (SKETCH parities of the
+   shingles, of which no more can differ than shingles) allow a link, and two components by WIDTHS[r] pairs
+   for a shingle. Pairs are verified by exact intersection of
    the whole sets, links merge components, and the next round pairs what is still apart.
    A group of near copies so costs a few pairs for each member and not one for each two;
-   the last round takes all shingles and has no width. A shingle with many classes is dealt over
+   the last round has no width and takes every pair that is still apart and hasn't met. A shingle with many classes is dealt over
    several tasks by pairs of parts, as is a class with many partners in the verification.
 5. Components of the links; the component of a document is the least id in it.
 
@@ -51,9 +53,11 @@ PARTNERS = 512
 #: Bits of a set's sketch.
 SKETCH = 512
 #: Partners of a class for each shingle, by round; the last has no limit.
-WIDTHS = (1, 8, 64, 1 << 40)
-#: One shingle in so many takes part in a round that isn't the last.
-SPARSE = 16
+WIDTHS = (1, 8, 4, 16, 1 << 40)
+#: One shingle in so many takes part in each of the first rounds.
+SPARSE, SPARSE_ROUNDS = 16, 2
+#: Classes with one shingle from which on it takes part in the rounds between these and the last.
+MANY = 32
 #: Classes with one shingle that one task holds, about; more are dealt by pairs of parts.
 HELD = 4096
 #: Pairs of classes that are looked at in one step.
@@ -173,7 +177,7 @@ def _least_shared(n: Column, percent: int) -> Column:
 
 def indexed(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Tables of cut(): the classes (node, doc_id, hash, n, alike, prefix, sketch), and of those that may link the rows
-    (token, bin, top, parts, pos, node, doc_id, hash, n, sketch): shingles that may be the first shared, by ranges of sizes; top: the
+    (token, bin, top, parts, many, pos, node, doc_id, hash, n, sketch): shingles that may be the first shared, by ranges of sizes; top: the
     range is the upper one of the set's two. Two sets meet in the one range of which one or both are at the top."""
     place = F.min(F.struct("doc_id", "hash")).alias("place")
     classes = common.cut(rows.where("n > 0").groupBy("node").agg(place, *[F.first(c).alias(c) for c in ("n", "alike", "prefix", "sketch")]).select("node", "place.*", "n", "alike", "prefix", "sketch"))
@@ -189,7 +193,7 @@ def indexed(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFra
         ranges = early.join(members, "alike").drop("alike").withColumn("band", band).withColumn("bin", F.explode(F.array(F.col("band"), F.col("band") - 1)))
         ranges = ranges.withColumn("top", F.col("bin") == F.col("band")).drop("band")
         with common.stored(ranges) as ranges:
-            parts = ranges.groupBy("token", "bin").agg(F.count("*").alias("c")).where("c > 1").select("token", "bin", F.ceil(F.col("c") / HELD).cast("int").alias("parts"))
+            parts = ranges.groupBy("token", "bin").agg(F.count("*").alias("c")).where("c > 1").select("token", "bin", F.ceil(F.col("c") / HELD).cast("int").alias("parts"), (F.col("c") >= MANY).alias("many"))
             return classes, common.cut(ranges.join(parts.hint("merge"), ["token", "bin"]))
 
 
@@ -203,9 +207,24 @@ def most_apart(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return n + m + 2 * (-(n + m) * percent // (100 + percent))
 
 
+def _ranks(*by: np.ndarray) -> np.ndarray:
+    """How many equal ones come before each."""
+    order = np.lexsort(by)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in by:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    at = np.arange(len(order))
+    out = np.empty(len(order), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return out
+
+
 def _meet(group: list[np.ndarray], width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(earlier row, row) of the pairs of a round; rows come by key and order."""
     key, part, alone, top, pos, n, c_doc, c_hash, mark, node, seen = group
+    whole = width >= WIDTHS[-1]
+    c = common.join2(c_doc.view(np.uint64), c_hash.view(np.uint64))  # tells components apart where pairs are chosen, not where they are left out
     known = {k: set(x.tolist()) for k, x in enumerate(seen) if x is not None}
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(begin, len(key)))
@@ -228,13 +247,18 @@ def _meet(group: list[np.ndarray], width: int, percent: int) -> tuple[np.ndarray
         if known:
             keep = np.array([y not in known.get(a, ()) and x not in known.get(b, ()) for a, b, x, y in zip(i.tolist(), j.tolist(), node[i].tolist(), node[j].tolist())], bool)
             i, j = i[keep], j[keep]
-        start = np.searchsorted(i, np.arange(at, stop))
-        found = np.diff(np.append(start, len(i)))
-        rank = np.arange(len(i)) - np.repeat(start, found)
-        kept = rank < width
-        out.append((j[kept], i[kept]))
+        if not whole:
+            first_of = _ranks(c[j], i) == 0
+            i, j = i[first_of], j[first_of]
+            kept = _ranks(i) < width
+            i, j = i[kept], j[kept]
+        out.append((j, i))
         at = stop
-    return tuple(np.concatenate([o[k] for o in out]) for k in range(2))
+    j, i = (np.concatenate([o[k] for o in out]) for k in range(2))
+    if not whole:
+        kept = _ranks(np.maximum(c[i], c[j]), np.minimum(c[i], c[j]), key[i]) < width
+        i, j = i[kept], j[kept]
+    return j, i
 
 
 _PAIR = ("a_doc", "a_hash", "a", "b_doc", "b_hash", "b")
@@ -250,7 +274,9 @@ def candidates(index: DataFrame, found: DataFrame, number: int, percent: int, te
             met = met.union(t.select("a", "b"))
         seen = met.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("seen"))
     known = found.select(F.col("u.doc_id").alias("doc_id"), F.col("u.hash").alias("hash"), "component")
-    if number < len(WIDTHS) - 1:
+    if number >= SPARSE_ROUNDS and number < len(WIDTHS) - 1:
+        index = index.where("many")
+    elif number < len(WIDTHS) - 1:
         index = index.where(F.pmod(F.xxhash64("token", F.lit(number)), F.lit(SPARSE)) == 0)
     rows = index.join(known, ["doc_id", "hash"], "left").withColumn("c", F.coalesce("component", F.struct("doc_id", "hash")))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(number)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -330,11 +356,7 @@ def linked_classes(docs: DataFrame, rows: DataFrame, size: int = SHINGLE, percen
     found = common.cut(docs.sparkSession.createDataFrame([], f"u {place}, component {place}"))
     tested: list[DataFrame] = []
     for number in range(len(WIDTHS)):
-        met = candidates(index, found, number, percent, tested)
-        for t in tested:
-            for x, y in (("a", "b"), ("b", "a")):  # either may have come first
-                met = met.join(t.select(F.col("a").alias(x), F.col("b").alias(y)), ["a", "b"], "left_anti")
-        met = common.cut(met)
+        met = common.cut(candidates(index, found, number, percent, tested))
         tested.append(met)
         if not met.isEmpty():
             a, b = F.struct(F.col("a_doc").alias("doc_id"), F.col("a_hash").alias("hash")), F.struct(F.col("b_doc").alias("doc_id"), F.col("b_hash").alias("hash"))

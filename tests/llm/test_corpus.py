@@ -243,6 +243,23 @@ def test_join_of_many_apart(spark, monkeypatch):
     assert got == components_by_hand(rows) and 20 < len({c for _, _, c in got}) < 125
 
 
+def test_components_meet_by_few_pairs_until_the_last_round():
+    """Rows of one shingle that may all link: 60 of one component, 60 of another and 20 alone."""
+    rows = 140
+    component = np.concatenate([np.repeat([0, 1], 60), np.arange(2, 22)])
+    order = np.random.default_rng(4).permutation(rows)
+    one, c = np.ones(rows, np.int64), component[order]
+    seen = np.full(rows, None, object)
+    group = [one, 0 * one, one.astype(bool), one.astype(bool), 0 * one, 100 * one, c, 0 * one, np.zeros((rows, 8), np.uint64), order, seen]
+    for width in (1, 4):
+        a, b = jaccard_join._meet(group, width, 85)
+        between = collections.Counter(tuple(sorted(p)) for p in zip(c[a].tolist(), c[b].tolist()))
+        assert (a < b).all() and all(x != y for x, y in between) and max(between.values()) == width
+        assert max(collections.Counter(zip(b.tolist(), c[a].tolist())).values()) == 1
+    a, b = jaccard_join._meet(group, jaccard_join.WIDTHS[-1], 85)
+    assert len(set(zip(a.tolist(), b.tolist()))) == len(a) == (rows**2 - 2 * 60**2 - 20) // 2
+
+
 def test_one_row_of_each_component_stays(spark):
     text = " ".join(f"w{k}" for k in range(40))
     near = text.replace("w39", "x")
