@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -58,6 +59,7 @@ class Tokens(dict):
     """
 
     def __init__(self, content: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a text at a time: no threads in each worker
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -93,7 +95,7 @@ class Tokens(dict):
         fresh = list({p for _, parts in found for p in parts if p not in self and p not in self.older})
         if len(fresh) < 2 or not self.ends.any():
             return
-        ids = np.array(self.library.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
+        ids = np.frombuffer(self.whole(" ".join(fresh)), "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) == len(fresh) and stops[-1] == len(ids):
             raw, at = ids.tobytes(), 0
@@ -102,7 +104,8 @@ class Tokens(dict):
                 at = stop
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        """The library's ids, without the places that each has in the text."""
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         if not self.by_word or not text.isascii() and _OTHER.search(text) or _CONTROL.search(text):

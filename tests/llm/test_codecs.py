@@ -187,6 +187,19 @@ def test_padding_is_little(spark):
     assert p.padded < 0.004 * p.tokens + 2 * 2048
 
 
+def test_ids_are_taken_without_their_places():
+    """Only the call that doesn't trace places back is there; the ids are those of the whole text."""
+    class Fast:
+        def __init__(self, library):
+            self.encode_batch_fast = library.encode_batch_fast
+
+    t = packing.Tokens(open(P.path("word_bpe_49k.json")).read())
+    plain, t.library = t.library, Fast(t.library)
+    texts = ["", " ", "Some new words, quite a few of them: don't, 12.5 and x_y.", "Stra\u00dfe \u0130 e\u0301 \u4e2d\u6587 \U0001f600", "a\x1cb <s> [UNK] </s>\n\ttab", "word " * 50]
+    for text in texts:
+        assert np.frombuffer(t.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_words_alone_give_the_same_ids():
     t = packing.tokens(open(P.path("word_bpe_49k.json")).read())
     assert t.by_word
