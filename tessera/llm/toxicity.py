@@ -239,6 +239,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 def _verdict(chain: Chain | None, threshold: float):
     def toxic(text: pd.Series) -> pd.Series:
+        common.settle(f"{__name__}.toxic")
         if chain is None:
             return pd.Series(np.zeros(len(text), bool))
         out = np.zeros(len(text), bool)

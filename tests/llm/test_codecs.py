@@ -6,13 +6,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, common, compress_rules, flac, html_template, packing
+from tessera.llm import bpe, common, compress_rules, flac, html_template, packing, toxicity
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "naïve café — “x” 12²\x1f\x85\xa0y"), (6, "word " * 5000), (7, "x" * 30000), (8, "tie"), (8, "tie"), (None, "null id"), (9, "👍🏽 नमस्ते 你好 İß Σας <|endoftext|>")]
 
@@ -207,6 +209,17 @@ def test_words_alone_give_the_same_ids():
         assert t.ids(text) == t.whole(text)
 
 
+def test_workers_give_back_what_packing_keeps(spark, odd):
+    """A worker that packed drops its words when it begins another kind of task."""
+    path = P.path("word_bpe_49k.json")
+    packing.pack(odd.repartition(8), path).collect()
+    left = common.arrow_map(common.texts(odd.repartition(8)), lambda b: pa.RecordBatch.from_pydict({"n": pa.array([len(packing._made)] * b.num_rows, pa.int64())}), "n long")
+    assert {r.n for r in left.collect()} == {0}
+    packing.tokens(open(path).read())
+    toxicity._verdict(None, 0.5)(pd.Series(["a text"]))
+    assert not packing._made
+
+
 # -- compression bands ------------------------------------------------------------------------------
 
 
