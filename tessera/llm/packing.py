@@ -43,6 +43,8 @@ FINE, FINE_PIECE = 384, 4
 #: Tokens a window of a block is left short of on average, so that near-equal windows fit.
 SPARE = 4
 END_ID = 1
+#: Words of one generation that a worker keeps.
+KEPT_WORDS = 200_000
 #: Texts with other characters than these are given to the library whole: outside them
 #: normal forms, case folding or white space need more than a word at a time.
 _OTHER = re.compile("[\x1c-\x1f\u0300-\u200f\u2028-\u20ab\u20ad-\U0010ffff]")
@@ -69,10 +71,18 @@ class Tokens(dict):
         self.library.encode_special_tokens = True
         rules = json.loads(content)["pre_tokenizer"]
         steps = rules.get("pretokenizers", [rules])
+        normal = json.loads(content)["normalizer"] or {}
+        self.parted = self.library
+        if all(x.get("type") in ("NFC", "Lowercase") or x.get("pattern") == {"Regex": "\\s+"} and x["content"] == " " for x in normal.get("normalizers", [normal])):
+            # lower-case matches parted by spaces need neither normal forms nor the pattern
+            self.parted = Tokenizer.from_str(json.dumps(json.loads(content) | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *steps[1:]]}}))
+            self.parted.encode_special_tokens = True
         pattern = steps[0].get("pattern", {}).get("Regex", "")
         #: Whether texts may be taken apart: a pattern of plain runs whose matches are kept and the rest dropped.
         self.by_word = steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and bool(steps[0]["invert"]) and "[^\\s" in pattern and "(?" not in pattern and not any(x.get("add_prefix_space") or x.get("use_regex") for x in steps[1:])
         self.matches = regex.compile(pattern).findall
+        #: Whether a word of letters is one match.
+        self.letters = bool(re.match(r"('\w+\|)*\[\\p\{L\}\]\+\|", pattern))
         self.older: dict[str, bytes] = {}
         suffix = json.loads(content)["model"].get("end_of_word_suffix")
         ends = [k for w, k in self.library.get_vocab().items() if suffix and w.endswith(suffix)]
@@ -81,7 +91,7 @@ class Tokens(dict):
         self.ends[ends] = True
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= common.CACHE_ENTRIES:
+        if len(self) >= KEPT_WORDS:
             self.older = dict(self)
             self.clear()
         out = self.older.get(word)
@@ -92,18 +102,30 @@ class Tokens(dict):
         return out
 
     def learn(self, words: list[str]) -> None:
-        """The matches of new words, encoded as one text and parted by the ids that end a match."""
-        found = [(w, self.matches(w)) for w in words if w not in self.older]
-        fresh = list({p for _, parts in found for p in parts if p not in self and p not in self.older})
-        if len(fresh) < 2 or not self.ends.any():
+        """New words: their matches, encoded as one text and parted by the ids that end a match, and what these make up."""
+        older, fresh, made = self.older, set(), []
+        for w in words:
+            if w in older:
+                continue  # comes back when it is asked for
+            if self.letters and w.isalpha():
+                fresh.add(w)
+            else:
+                parts = self.matches(w)
+                made.append((w, parts))
+                fresh.update(parts)
+        some = [p for p in fresh if p not in self and p not in older]
+        if len(some) < 2 or not self.ends.any():
             return
-        ids = np.frombuffer(self.whole(" ".join(fresh)), "<u4")
+        ids = np.array(self.parted.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(fresh) and stops[-1] == len(ids):
+        if len(stops) == len(some) and stops[-1] == len(ids):
             raw, at = ids.tobytes(), 0
-            for p, stop in zip(fresh, (4 * stops).tolist()):
+            for p, stop in zip(some, (4 * stops).tolist()):
                 self[p] = raw[at:stop]
                 at = stop
+            for w, parts in made:
+                if len(parts) > 1:
+                    self[w] = b"".join(map(self.__getitem__, parts))
 
     def whole(self, text: str) -> bytes:
         """The library's ids, without the places that each has in the text."""

@@ -220,6 +220,25 @@ def test_workers_give_back_what_packing_keeps(spark, odd):
     assert not packing._made
 
 
+def test_new_words_are_matched_once():
+    """Words of letters are not matched at all, others once; what they make up is kept with them."""
+    t = packing.Tokens(open(P.path("word_bpe_49k.json")).read())
+    seen, matches = Counter(), t.matches
+    t.matches = lambda w: seen.update([w]) or matches(w)
+    text = "Plain Words, some of them new: don't, 12.5 and x_y. ñandú\u0130s stra\u00dfe ªº 'tis rock'n'roll it's'd a1b2 ½x €5 " * 2
+    assert t.by_word and t.ids(text) == t.whole(text)
+    assert seen and set(seen.values()) == {1} and not any(w.isalpha() for w in seen)
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 50)
+    t = packing.Tokens(open(P.path("word_bpe_49k.json")).read())
+    for k in range(60):
+        text = " ".join(f"w{chr(97 + (k * j) % 26)}{chr(97 + j)}, v{k % 9}" for j in range(20))
+        assert t.ids(text) == t.whole(text)
+        assert len(t.older) < 50 + 200
+
+
 # -- compression bands ------------------------------------------------------------------------------
 
 
